@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandlake.llm import decontaminate, secrets, sharding
+from strandlake.llm import decontaminate, langid, secrets, sharding, toxicity
 from strandlake.llm.common import table
 
 
@@ -10,6 +10,16 @@ def op1_secret_scan(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs))
+
+
+def op3_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -19,7 +29,7 @@ def op9_decontaminate(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_secret_scan, op4_sharding, op9_decontaminate)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_toxicity, op4_sharding, op9_decontaminate)}
 
 
 def oracle_sql():
