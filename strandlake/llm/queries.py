@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandlake.llm import decontaminate, langid, secrets, sharding, toxicity
+from strandlake.llm import decontaminate, langid, packing, secrets, sharding, toxicity
 from strandlake.llm.common import table
 
 
@@ -28,8 +28,12 @@ def op9_decontaminate(spark, sf_dir):
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_toxicity, op4_sharding, op9_decontaminate)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_toxicity, op4_sharding, op9_decontaminate, op10_packing)}
 
 
 def oracle_sql():
