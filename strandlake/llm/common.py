@@ -21,7 +21,10 @@ def work_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="strandlake-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    # with its scheme, so that Spark and other readers mean the same place
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    own = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return own.makeQualified(path).toString().rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:

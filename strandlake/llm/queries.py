@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandlake.llm import decontaminate, langid, packing, secrets, sharding, toxicity
+from strandlake.llm import decontaminate, langid, media, neardup, packing, secrets, sharding, toxicity
 from strandlake.llm.common import table
 
 
@@ -24,6 +24,14 @@ def op4_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op6_near_duplicates(spark, sf_dir):
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
+def op8_media_columns(spark, sf_dir):
+    return media.media(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark, sf_dir):
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -33,7 +41,7 @@ def op10_packing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_toxicity, op4_sharding, op9_decontaminate, op10_packing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_toxicity, op4_sharding, op6_near_duplicates, op8_media_columns, op9_decontaminate, op10_packing)}
 
 
 def oracle_sql():

@@ -79,3 +79,48 @@ def secret_spans(text):
 
 def crc(text):
     return zlib.crc32((text or "").encode())
+
+
+def shingle_counts(text, size=5):
+    w = words(text)
+    if not w:
+        return Counter()
+    if len(w) < size:
+        return Counter([tuple(w)])
+    return Counter(tuple(w[i : i + size]) for i in range(len(w) - size + 1))
+
+
+def probability_jaccard(x, y):
+    return sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in x.keys() | y.keys()) for i in x.keys() & y.keys())
+
+
+def near_classes(docs, limit=0.8):
+    """Class (least doc_id) of each (doc_id, text), over all pairs that share a shingle."""
+    up = {}
+
+    def find(a):
+        while up.setdefault(a, a) != a:
+            up[a] = up[up[a]]
+            a = up[a]
+        return a
+
+    first, sets, holds = {}, [], {}
+    for k, (_, text) in enumerate(docs):
+        text = text or ""
+        if text in first:
+            up[find(k)] = find(first[text])
+            sets.append(None)
+            continue
+        first[text] = k
+        sets.append(shingle_counts(text))
+        for s in sets[-1]:
+            holds.setdefault(s, []).append(k)
+    shared = Counter((a, b) for ks in holds.values() for i, a in enumerate(ks) for b in ks[i + 1 :])
+    for (a, b), n in shared.items():
+        if n >= 0.5 * min(len(sets[a]), len(sets[b])) and find(a) != find(b) and probability_jaccard(sets[a], sets[b]) >= limit:
+            up[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(docs):
+        r = find(k)
+        least[r] = min(least.get(r, i), i)
+    return {k: least[find(k)] for k in range(len(docs))}
