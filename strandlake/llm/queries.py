@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandlake.llm import decontaminate, langid, media, neardup, packing, secrets, sharding, toxicity
+from strandlake.llm import decontaminate, langid, media, neardup, packing, secrets, sharding, substrings, toxicity
 from strandlake.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op6_near_duplicates(spark, sf_dir):
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def op7_repeated_passages(spark, sf_dir):
+    return substrings.repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_media_columns(spark, sf_dir):
     return media.media(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_packing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_toxicity, op4_sharding, op6_near_duplicates, op8_media_columns, op9_decontaminate, op10_packing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_toxicity, op4_sharding, op6_near_duplicates, op7_repeated_passages, op8_media_columns, op9_decontaminate, op10_packing)}
 
 
 def oracle_sql():
