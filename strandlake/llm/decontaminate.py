@@ -134,14 +134,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, inline_keys: int = I
     return clean.unionByName(out(met, F.coalesce("n_hit", zero), F.coalesce("n_items", zero), F.coalesce("items_sha256", empty)))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, most: float = 0.5, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, most: float = 0.5, text_col: str = "text", length_col: str | None = "n_chars", inline_keys: int = INLINE_KEYS) -> DataFrame:
     """``docs`` with the words of benchmark windows cut out; documents of which more than ``most``
     of the words are hit go. All columns of ``docs`` stay; ``length_col`` is set anew where text
     changes. Texts without a hit stay as they are."""
     src = docs.withColumn("_digest", F.sha2(text_or_empty(text_col), 256))
-    rows, spans = verified(docs.select(F.lit(None).alias("doc_id"), F.col(text_col).alias("text")), benchmark, n)
+    rows, spans = verified(docs.select(F.lit(None).alias("doc_id"), F.col(text_col).alias("text")), benchmark, n, inline_keys)
     spans = staged(spans.select(F.col("digest").alias("_digest"), F.col("spans").alias("_spans"), _covered(F.col("spans")).alias("_n_hit")), "spans")
-    met = src.join(spans, "_digest", "left")
+    # few texts are hit; where they are many, the join deals rows by digest
+    met = src.join(F.broadcast(spans) if spans.count() <= inline_keys else spans, "_digest", "left")
 
     def cut(w: Column) -> Column:
         """A word that is hit goes with what parts it from the next."""

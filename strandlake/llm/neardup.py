@@ -232,12 +232,20 @@ def classes(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
 
 
 def distinct(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
-    """``docs`` with one row of each class: that of the least doc_id. All columns stay."""
+    """``docs`` with one row of each class: that of the least doc_id. All columns stay.
+
+    Texts aren't dealt out: rows meet the (digest, id) pairs that go, broadcast while they number no
+    more than ``MOST_KEYS``, else joined on both columns, which no hot text makes uneven."""
     rows, roots = grouped(docs.select("doc_id", "text"), limit)
-    rows = rows.join(roots, "node", "left").select("digest", "doc_id", "mid", F.coalesce("root", "node").alias("root"))
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mid", "digest")).alias("f")).select(F.col("f.digest").alias("_digest"), F.col("f.doc_id").alias("_id"))
-    first = staged(first, "kept")
-    own = docs.withColumn("_digest", F.unhex(F.sha2(text_or_empty("text"), 256)))
-    kept = own.join(first, (own["_digest"] == first["_digest"]) & own["doc_id"].cast("long").eqNullSafe(first["_id"])).drop(first["_digest"])
-    # rows equal in id and text: one of them
-    return kept.dropDuplicates(["_digest", "_id"]).select(docs.columns)
+    rows = rows.join(roots, "node", "left").select("digest", "doc_id", F.coalesce("root", "node").alias("root"))
+    pairs = staged(rows.groupBy("root", "digest", "doc_id").agg(F.count("*").alias("n")), "pairs")
+    best = pairs.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("f"))
+    stays = (F.col("digest") == F.col("f.digest")) & F.col("doc_id").eqNullSafe(F.col("f.doc_id"))
+    marked = pairs.join(best, "root").select(F.col("digest").alias("_digest"), F.col("doc_id").alias("_id"), stays.alias("_stays"), "n").filter("not _stays or n > 1")
+    marked = staged(marked.select("_digest", "_id", "_stays"), "leaving")
+    near = F.broadcast(marked) if marked.count() <= MOST_KEYS else marked
+    own = docs.withColumn("_key", F.unhex(F.sha2(text_or_empty("text"), 256)))
+    met = own.join(near, (F.col("_key") == F.col("_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
+    # rows equal in id and text: one of them stays
+    repeated = met.filter("_stays").dropDuplicates(["_digest", "_id"])
+    return met.filter(F.col("_stays").isNull()).unionByName(repeated).select(docs.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandlake.llm import decontaminate, langid, media, neardup, packing, secrets, sharding, substrings, toxicity
+from strandlake.llm import decontaminate, langid, licenses, media, neardup, packing, secrets, sharding, substrings, toxicity
 from strandlake.llm.common import table
 
 
@@ -24,6 +24,11 @@ def op4_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.train(docs))
+
+
 def op6_near_duplicates(spark, sf_dir):
     return neardup.classes(table(spark, sf_dir, "documents"))
 
@@ -45,7 +50,7 @@ def op10_packing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_toxicity, op4_sharding, op6_near_duplicates, op7_repeated_passages, op8_media_columns, op9_decontaminate, op10_packing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_toxicity, op4_sharding, op5_license_scan, op6_near_duplicates, op7_repeated_passages, op8_media_columns, op9_decontaminate, op10_packing)}
 
 
 def oracle_sql():
