@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
+from strandlake.plans import sites
 
-def _modules():
-    return []
+MODULES = (sites,)
 
 
 def queries():
-    out = {}
-    for m in _modules():
-        out.update(m.queries())
-    return out
+    return {k: v for m in MODULES for k, v in m.queries().items()}
 
 
 def oracle_sql():
-    out = {}
-    for m in _modules():
-        out.update(m.oracle_sql())
-    return out
+    return {k: v for m in MODULES for k, v in m.oracle_sql().items()}
