@@ -85,8 +85,9 @@ def _base(text: Column) -> Column:
     none = F.array().cast(SPAN)
     found = []
     for kind, pattern, least in (("assign", ASSIGN, 6), ("access", ACCESS, 20), ("hex", HEX, 24)):
-        spans = _matches(text, pattern, lambda b, m, v, kind=kind, least=least: F.struct(F.length(v).alias("size"), _span(b, F.length(m), kind).alias("span")))
-        spans = F.transform(F.filter(spans, lambda x, least=least: x["size"] >= least), lambda x: x["span"])
+        spans = _matches(text, pattern, lambda b, m, v: F.struct(F.length(v).alias("size"), _span(b, F.length(m), kind).alias("span")))  # noqa: B023
+        # a lambda's parameters are all Spark's, so the limit comes from the scope
+        spans = F.transform(F.filter(spans, lambda x: x["size"] >= least), lambda x: x["span"])  # noqa: B023
         found.append(F.when(text.rlike(pattern), F.coalesce(spans, none)).otherwise(none))
     return F.concat(*found)
 
