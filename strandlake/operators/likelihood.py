@@ -25,8 +25,8 @@ def _posterior(x: Column, g0: Column, g1: Column, g2: Column) -> tuple[Column, C
 
 def start_af(ls: Column) -> Column:
     """(n1 + 2 n2) / (n0 + n1 + n2) / 2 with n_k the samples whose PL_k is 0."""
-    n = [F.size(F.filter(ls, lambda x, i=i: x[f"l{i}"] == 1.0)) for i in range(3)]
-    return (n[1] + 2 * n[2]) / (n[0] + n[1] + n[2]) / 2
+    n = [F.size(F.filter(F.transform(ls, lambda x: x[name]), lambda v: v == 1.0)) for name in ("l0", "l1", "l2")]
+    return F.try_divide(n[1] + 2 * n[2], n[0] + n[1] + n[2]) / 2
 
 
 def em_af(ls: Column, af0: Column, rounds: int) -> Column:
@@ -96,7 +96,7 @@ def related(dad: Column, mom: Column, kids: Column, g: list[Column]) -> Column:
     for d in range(3):
         for m in range(3):
             t = TRANSMISSION[3 * d + m]
-            child = F.aggregate(kids, F.lit(1.0), lambda s, x, t=t: s * (x["l0"] * t[0] + x["l1"] * t[1] + x["l2"] * t[2]))
+            child = F.aggregate(kids, F.lit(1.0), lambda s, x: s * (x["l0"] * t[0] + x["l1"] * t[1] + x["l2"] * t[2]))
             total = total + g[d] * g[m] * dad[f"l{d}"] * mom[f"l{m}"] * child
     return -10 * F.log10(total + 1e-100)
 

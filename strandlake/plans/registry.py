@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandlake.plans import sites
+from strandlake.plans import genotypes, sites
 
-MODULES = (sites,)
+MODULES = (sites, genotypes)
 
 
 def queries():

@@ -17,7 +17,7 @@ queries, oracle_sql = plans.queries, plans.oracle_sql
 KNOWN = "known AS (SELECT DISTINCT concat('chr', CAST(p_partkey % 22 + 1 AS INT)) AS chrom, p_partkey * 100 + p_size AS pos FROM part)"
 GOLD = "gold AS (SELECT DISTINCT concat('chr', CAST(p_size % 22 + 1 AS INT)) AS chrom, p_partkey * 100 + p_size % 7 AS pos FROM part)"
 SITES = f"""{ctes("variants")}, {KNOWN}, {GOLD},
-one AS (SELECT * FROM (SELECT *, lag(pos) OVER (PARTITION BY chrom ORDER BY pos, vorder, vline) AS before FROM variants WHERE length(ref) = 1 AND length(alt) = 1) WHERE before IS NULL OR before <> pos),
+one AS (SELECT * FROM (SELECT *, lag(pos) OVER (PARTITION BY chrom ORDER BY pos, vorder, vline, filter, ac) AS before FROM variants WHERE length(ref) = 1 AND length(alt) = 1) WHERE before IS NULL OR before <> pos),
 sites AS (SELECT v.*, k.chrom IS NOT NULL AS is_known, g.chrom IS NOT NULL AS is_gold, v.vline % 5 = 0 AS is_cpg,
   CASE WHEN v.ref || v.alt IN ('AG','GA','CT','TC') THEN 'ts' WHEN v.ref <> v.alt THEN 'tv' END AS kind
   FROM one v LEFT JOIN known k ON v.chrom = k.chrom AND v.pos = k.pos LEFT JOIN gold g ON v.chrom = g.chrom AND v.pos = g.pos),
@@ -38,7 +38,7 @@ round(n_gold * 100 / (n + 1e-6), 6) AS pct_gold FROM ({source})"""
 def _sites(spark, sf_dir):
     """Single-base sites, repeated places dropped, with their known, gold, CpG and Ts/Tv marks."""
     v = view(spark, sf_dir, "variants").filter("length(ref) = 1 AND length(alt) = 1")
-    v = O.drop_repeats(v, ["chrom"], ["pos", "vorder", "vline"], "pos")
+    v = O.drop_repeats(v, ["chrom"], ["pos", "vorder", "vline", "filter", "ac"], "pos")
     part = table(spark, sf_dir, "part")
     known = part.select(F.concat(F.lit("chr"), (F.col("p_partkey") % 22 + 1).cast("int").cast("string")).alias("chrom"), (F.col("p_partkey") * 100 + F.col("p_size")).alias("pos"))
     gold = part.select(F.concat(F.lit("chr"), (F.col("p_size") % 22 + 1).cast("int").cast("string")).alias("chrom"), (F.col("p_partkey") * 100 + F.col("p_size") % 7).alias("pos"))
