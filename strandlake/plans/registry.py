@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandlake.plans import genotypes, sites
+from strandlake.plans import genotypes, ranges, sites
 
-MODULES = (sites, genotypes)
+MODULES = (sites, genotypes, ranges)
 
 
 def queries():
