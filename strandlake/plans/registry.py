@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandlake.plans import genotypes, ranges, sites
+from strandlake.plans import genotypes, ranges, sites, streams
 
-MODULES = (sites, genotypes, ranges)
+MODULES = (sites, genotypes, ranges, streams)
 
 
 def queries():
