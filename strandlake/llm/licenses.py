@@ -148,7 +148,10 @@ def fit(lines: list[str]) -> Model:
 
 
 def train(docs: DataFrame) -> Model:
-    some = docs.select("doc_id", F.substring("text", 1, 20_000).alias("text")).filter(F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "text").limit(MAX_DOCS)
+    order = F.xxhash64("doc_id", F.lit(5))
+    # ids alone are ranked; texts are only taken of the few that are chosen
+    ids = docs.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(order, "doc_id").limit(MAX_DOCS)
+    some = docs.select("doc_id", F.substring("text", 1, 20_000).alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     lines = some.select(F.explode(F.split("text", "\n")).alias("line")).orderBy(F.xxhash64("line"), "line").limit(MAX_LINES)
     return fit([r["line"] for r in lines.collect()])
 
