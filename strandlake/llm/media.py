@@ -5,9 +5,9 @@ losslessly as an 8-bit grey PNG of ``WIDTH`` columns, named by the payload's sha
 under the folder that all executors share. A payload is stored once, however many rows have it.
 
 1. Digests of all rows are computed and those that occur more than once are found.
-2. Rows whose digest occurs once are written by the task that reads them. Of the others one row a
-   digest is kept (per task first, then overall) and written. The repeated digests are broadcast
-   while they number no more than ``MOST_DIGESTS``; beyond that all rows are dealt by digest.
+2. Payloads are written by the task that reads their text, those of repeated digests only where the row
+   has the least id of them. The repeated digests and these ids are broadcast while they number no more
+   than ``MOST_DIGESTS``; beyond that all rows are dealt by digest.
 3. Writers return (digest, shard, offset, length). Each attempt of a task writes files of its own,
    and only those that a finished task returned are ever named, so a retry does no harm.
 4. ``headers`` fills metadata columns by reading the first 33 bytes of each payload's range;
@@ -128,12 +128,11 @@ class Ranges:
 
 
 def stored(rows: DataFrame, ids: DataFrame, folder: str) -> DataFrame:
-    """rows (``digest``, ``text``), ids (``digest``) of the same rows -> the manifest."""
-    repeated = ids.groupBy("digest").count().filter("count > 1").select("digest", F.lit(True).alias("again"))
+    """rows (``doc_id``, ``digest``, ``text``), ids (``doc_id``, ``digest``) of the same rows -> the manifest."""
+    repeated = ids.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner")).filter("n > 1").select("digest", "owner", F.lit(True).alias("again"))
     if repeated.count() <= MOST_DIGESTS:
         marked = rows.join(F.broadcast(repeated), "digest", "left")
-        once = marked.filter(F.col("again").isNull()).select("digest", "text")
-        own = once.unionByName(marked.filter("again").select("digest", "text").dropDuplicates(["digest"]))
+        own = marked.filter(F.col("again").isNull() | F.col("doc_id").eqNullSafe(F.col("owner")))
     else:
         own = rows.dropDuplicates(["digest"])
 
@@ -150,7 +149,8 @@ def stored(rows: DataFrame, ids: DataFrame, folder: str) -> DataFrame:
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], names=["digest", "shard", "offset", "length"])
 
-    return own.select("digest", "text").mapInArrow(run, MANIFEST)
+    # rows that share id and text may have been written by several tasks: one place counts
+    return own.select("digest", "text").mapInArrow(run, MANIFEST).groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("m")).select("digest", "m.*")
 
 
 def _by_shard(manifest: DataFrame) -> DataFrame:
@@ -202,5 +202,5 @@ def media(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", te
     """Every row's payload with its place, metadata and features."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), digest(F.col(text_col)).alias("digest"))
     ids = staged(rows.select("doc_id", "digest"), "digests")
-    manifest = staged(stored(rows.select("digest", "text"), ids, folder or new_path(docs.sparkSession, "shards")), "manifest")
+    manifest = staged(stored(rows, ids, folder or new_path(docs.sparkSession, "shards")), "manifest")
     return ids.join(features(manifest), "digest", "left")
