@@ -193,11 +193,11 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, max_bytes: int = MAX_BYTES,
     sizes = {r["lang"]: r["n"] for r in may.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     per_lang = max(1, min(per_lang, MOST_DOCS // max(1, len(sizes))))
     # a hash of the id decides; ids far beyond the wanted ones needn't meet in one task to be ranked
-    order = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30))
+    rank = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30))
     near = F.lit(False)
     for lang, size in sorted(sizes.items()):
-        near = near | ((F.col("lang") == lang) & (order < int(min(1.0, 4 * (per_lang + 25) / size) * (1 << 30))))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
+        near = near | ((F.col("lang") == lang) & (rank < int(min(1.0, 4 * (per_lang + 25) / size) * (1 << 30))))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(rank, "doc_id"))
     ids = may.filter(near).select("lang", "doc_id").distinct().withColumn("_n", first).filter(F.col("_n") <= per_lang).drop("_n")
     # a text that is cut within a character is only learnt from a little short
     own = may.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min(F.substring("text", 1, max_bytes)).alias("text"))
