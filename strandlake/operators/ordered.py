@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.storage import staged
+
 
 def with_row_number(df: DataFrame, order: list[str], name: str = "row_no") -> DataFrame:
     """Numbers 1, 2, ... over the whole table: ranks within range partitions, plus the
     partitions' running counts. The order must be total.
 
-    The partitions' boundaries come from samples, so the partitioned table is cached: both passes see
-    the same ones."""
-    cut = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).persist()
+    The partitions' boundaries come from samples, so the partitioned table is written to the shared
+    folder: both passes see the same ones, also after an executor is lost."""
+    cut = staged(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "numbered")
     n = cut.groupBy("_p").agg(F.count("*").alias("_n"))
     before = n.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     local = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
