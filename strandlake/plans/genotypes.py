@@ -280,8 +280,8 @@ SELECT vorder, vline, pos, round(sum(f * coalesce(weight, 0)) * 3, 6) AS delta F
 def kmer_score(spark, sf_dir):
     """M12, J28, X1, C29."""
     v = view(spark, sf_dir, "variants").filter("vorder % 5 = 0").select("vorder", "vline", "pos", "ref", "alt").distinct().withColumn("left", F.lit("AC")).withColumn("right", F.lit("GT"))
-    base = spark.createDataFrame([(b,) for b in "ACGT"], "b string")
-    w = base.select(F.col("b").alias("x")).crossJoin(base.select(F.col("b").alias("y"))).crossJoin(base.select(F.col("b").alias("z")))
+    bases = F.array(*[F.lit(b) for b in "ACGT"])
+    w = spark.range(1, numPartitions=1).select(F.explode(bases).alias("x")).select("x", F.explode(bases).alias("y")).select("x", "y", F.explode(bases).alias("z"))
     w = w.select(F.concat("x", "y", "z").alias("kmer"), (F.ascii("x") * 3 + F.ascii("y") * 5 + F.ascii("z") * 3 - 500).cast("double").alias("weight"))
     return classify.delta_scores(v, w, 3, ["vorder", "vline", "pos"])
 
