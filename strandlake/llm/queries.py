@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandlake.llm import decontaminate, langid, licenses, media, neardup, packing, secrets, sharding, substrings, toxicity
+from strandlake.llm import decontaminate, langid, licenses, media, neardup, oracles, packing, secrets, sharding, substrings, toxicity
 from strandlake.llm.common import table
 
 
@@ -54,4 +54,5 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    """The others are beyond SQL (trained models, sketches, tokenisers, crc32, file formats)."""
+    return dict(oracles.SQL)
