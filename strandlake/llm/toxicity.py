@@ -82,30 +82,40 @@ def fit(texts: pa.Array, toxic: np.ndarray, min_docs: int = 4, least_z: float =
     if not y.any() or y.all():
         return none
     data, offsets = B.buffers(texts)
-    hs, sents, docs, n_sent = [], [], [], 0
-    for i, j in B.slices(offsets):
-        part = data[offsets[i] : offsets[j]]
-        own = offsets[i : j + 1] - offsets[i]
-        h, of, starts = features(part, own)
-        doc = np.searchsorted(own, starts, "right") - 1 + i
-        hs.append(h)
-        sents.append(of + n_sent)
-        docs.append(doc)
-        n_sent += len(starts)
-    h, sent, doc = np.concatenate(hs), np.concatenate(sents), np.concatenate(docs)
-    names, f = np.unique(h, return_inverse=True)
-    pair = np.unique(doc[sent].astype(np.int64) * len(names) + f)
-    pf, pd = pair % len(names), pair // len(names)
-    df, dp = np.bincount(pf, minlength=len(names)), np.bincount(pf, weights=y[pd], minlength=len(names))
+
+    def parts(of=None):
+        """(feature, sentence, document) a slice, of the features ``of`` by their place in it; sentences'
+        documents. One slice is held at a time."""
+        for i, j in B.slices(offsets):
+            own = offsets[i : j + 1] - offsets[i]
+            h, sent, starts = features(data[offsets[i] : offsets[j]], own)
+            doc = np.searchsorted(own, starts, "right") - 1 + i
+            if of is not None:
+                at, h = of.known(h)
+                sent = sent[at]
+            yield h, sent, doc
+
+    # only features of toxic documents can go with label 1
+    names = np.unique(np.concatenate([np.unique(h[y[doc[sent]]]) for h, sent, doc in parts()]))
+    seen = Model(names, np.zeros(len(names)), 0.0)
+    df, dp, n_sent = np.zeros(len(names)), np.zeros(len(names)), 0
+    for f, sent, doc in parts(seen):
+        pair = np.unique(doc[sent].astype(np.int64) * len(names) + f)
+        df += np.bincount(pair % len(names), minlength=len(names))
+        dp += np.bincount(pair % len(names), weights=y[pair // len(names)], minlength=len(names))
+        n_sent += len(doc)
     share = y.mean()
     z = (dp - df * share) / np.sqrt(df * share * (1 - share) + 1e-9)
     keep = np.flatnonzero((df >= min_docs) & (z >= least_z))
     if not len(keep):
         keep = np.flatnonzero(df >= 1)[:1]
-    to = np.full(len(names), -1)
-    to[keep] = np.arange(len(keep))
-    f = to[f]
-    own = np.unique(sent[f >= 0].astype(np.int64) * len(keep) + f[f >= 0])
+    kept = Model(names[keep], np.zeros(len(keep)), 0.0)
+    pairs, docs, before = [], [], 0
+    for f, sent, doc in parts(kept):
+        pairs.append(np.unique((sent + before).astype(np.int64) * len(keep) + f))
+        docs.append(doc)
+        before += len(doc)
+    own, doc = np.concatenate(pairs), np.concatenate(docs)
     sent, f = own // len(keep), own % len(keep)
     # sentences without a kept feature are alike: only their number in a document matters
     used, sent = np.unique(sent, return_inverse=True)
