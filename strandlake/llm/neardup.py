@@ -11,9 +11,11 @@ doesn't change with a text's length, and is the plain Jaccard where weights are
    bands share a bucket. At J = 0.8 a pair is missed with chance (1 - 0.8**7)**56 = 2e-6.
 3. In each bucket its least node is the centre, and only pairs with the centre are verified, exactly,
    from both texts' shingles. Components of verified pairs are found.
-4. Buckets that still hold several components are compared once more, in blocks: registers estimate
-   J for pairs of different components, and each node's best partner in every other component is
-   verified if the estimate is ``ESTIMATE`` or more (five standard errors under 0.8).
+4. Buckets that still hold several components are compared again, in blocks: registers estimate J for
+   pairs of different components. First the block's medoid (near copies of one text may be near to it,
+   but less near to each other) and then each node's best partner in every other component is verified,
+   if the estimate is ``ESTIMATE`` or more (five standard errors under 0.8). A pair is only looked at
+   in the first band that it shares.
 
 No step emits all pairs of a group: a group of n copies gives n pairs with its centre. A centre with
 many partners is dealt over several tasks, its shingles going along to each.
@@ -28,7 +30,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -171,32 +172,84 @@ def verified(pairs: DataFrame, held: DataFrame, limit: float = LIMIT) -> DataFra
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def _across(members: DataFrame, held: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs to verify between components that share buckets: best partners by the registers."""
-    marked = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    open_ = marked.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).filter("a != b").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+def _medoids(sig: np.ndarray, root: np.ndarray, meet) -> Iterator[tuple[int, int]]:
+    """The member that most registers' majorities agree with, and who isn't of its component yet."""
+    ordered = np.sort(sig, axis=0)
+    middle = ordered[len(sig) // 2]  # a value that most members have is the middle one
+    k = int((sig == middle).sum(axis=1).argmax())
+    at, _ = meet(k)
+    for a in at:
+        yield k, a
+
+
+def _partners(sig: np.ndarray, root: np.ndarray, meet) -> Iterator[tuple[int, int]]:
+    """The best partner in every other component of each member, but those of the largest component:
+    they are others' partners."""
+    names, n = np.unique(root, return_counts=True)
+    for k in np.flatnonzero(root != names[n.argmax()]):
+        at, near = meet(k)
+        order = np.lexsort((at, -near, root[at]))
+        at = at[order]
+        for a in at[np.unique(root[at], return_index=True)[1]]:
+            yield k, a
+
+
+def _across(members: DataFrame, held: DataFrame, roots: DataFrame, pick) -> DataFrame:
+    """Pairs to verify between components that share buckets, as ``pick`` chooses them in each block.
+
+    A pair is only looked at in the first band that it shares, so no pair comes twice."""
+    marked = members.join(roots, "node", "left").select("b", "band", "node", F.coalesce("root", "node").alias("root"))
+    open_ = marked.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("z"), F.count("*").alias("n")).filter("a != z").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     # a bucket of several blocks is compared block by block: each node goes to the blocks' pairs it is in
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = marked.join(open_, "band").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", "node", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = rows.select("b", "band", "node", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     rows = rows.join(held.select("node", "sig"), "node")
 
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node", ignore_index=True)
-        sig = np.stack([np.frombuffer(b, np.uint32) for b in pdf["sig"]])
-        node, root, own = pdf["node"].to_numpy(), pdf["root"].to_numpy(), pdf["own"].to_numpy()
-        two = pdf["i"].iloc[0] != pdf["j"].iloc[0]
-        out = set()
-        for k in range(len(node)):
-            near = (sig == sig[k]).mean(axis=1)
-            near[(root == root[k]) | (two & (own == own[k]))] = 0
-            at = np.flatnonzero(near >= ESTIMATE)
-            at = at[np.lexsort((node[at], -near[at], root[at]))]
-            for a in at[np.unique(root[at], return_index=True)[1]]:
-                out.add((min(node[k], node[a]), max(node[k], node[a])))
-        return pd.DataFrame(sorted(out), columns=["u", "v"], dtype="int64")
+    def chosen(cols: dict[str, np.ndarray], sigs: list) -> tuple[list[int], list[int]]:
+        sig = np.frombuffer(b"".join(sigs), np.uint32).reshape(len(sigs), REGISTERS)
+        node, root, own, b = cols["node"], cols["root"], cols["own"], int(cols["b"][0])
+        two = cols["i"][0] != cols["j"][0]
+
+        def meet(k: int) -> tuple[np.ndarray, np.ndarray]:
+            """Members of other components whose estimate suffices and whose first common band is this one."""
+            equal = sig == sig[k]
+            near = np.count_nonzero(equal, axis=1) / REGISTERS
+            at = np.flatnonzero((near >= ESTIMATE) & (root != root[k]) & ~(two & (own == own[k])))
+            if b and len(at):
+                at = at[~equal[at, : b * ROWS].reshape(len(at), b, ROWS).all(axis=2).any(axis=1)]
+            return at, near[at]
+
+        out = sorted({(min(node[k], node[a]), max(node[k], node[a])) for k, a in pick(sig, root, meet)})
+        return [u for u, _ in out], [v for _, v in out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks come one after the other; a batch may end within one."""
+        rest = None
+        for batch in _with_end(batches):
+            table = pa.Table.from_batches([x for x in (rest, batch) if x is not None]).combine_chunks() if rest is not None or batch is not None else None
+            if table is None or not len(table):
+                continue
+            cols = {c: table.column(c).to_numpy() for c in ("b", "band", "node", "root", "own", "i", "j")}
+            change = (np.diff(cols["band"]) != 0) | (np.diff(cols["i"]) != 0) | (np.diff(cols["j"]) != 0)
+            starts = np.concatenate([[0], np.flatnonzero(change) + 1, [len(table)]])
+            done = len(starts) - 1 if batch is None else len(starts) - 2
+            us, vs = [], []
+            sigs = table.column("sig").to_pylist()
+            for a, z in zip(starts[:done], starts[1 : done + 1], strict=True):
+                u, v = chosen({c: x[a:z] for c, x in cols.items()}, sigs[a:z])
+                us += u
+                vs += v
+            rest = None if batch is None else table.slice(starts[done]).combine_chunks().to_batches()[0]
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    blocks = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
+    return blocks.mapInArrow(run, "u long, v long").distinct()
+
 
-    return rows.groupBy("band", "i", "j").applyInPandas(best, "u long, v long").distinct()
+def _with_end(items: Iterator) -> Iterator:
+    yield from items
+    yield None
 
 
 def grouped(docs: DataFrame, limit: float = LIMIT) -> tuple[DataFrame, DataFrame]:
@@ -205,7 +258,7 @@ def grouped(docs: DataFrame, limit: float = LIMIT) -> tuple[DataFrame, DataFrame
     base = staged(sketched(rows), "sketches").withColumn("mid", F.monotonically_increasing_id())
     base = staged(base, "numbered")
     nodes = staged(base.groupBy("digest").agg(F.min("mid").alias("node")), "nodes")
-    reps = base.join(nodes.select(F.col("node").alias("mid")), "mid").select(F.col("mid").alias("node"), F.explode("bands").alias("band"))
+    reps = base.join(nodes.select(F.col("node").alias("mid")), "mid").select(F.col("mid").alias("node"), F.posexplode("bands").alias("b", "band"))
     multi = reps.groupBy("band").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre != last").select("band", "centre")
     members = staged(reps.join(multi, "band"), "members")
     keys = members.select("node").distinct().join(nodes, "node").select("node", "digest")
@@ -215,9 +268,12 @@ def grouped(docs: DataFrame, limit: float = LIMIT) -> tuple[DataFrame, DataFrame
     stars = members.filter("node != centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
     links = staged(verified(staged(stars, "stars"), held, limit), "links")
     roots = components(links)
-    more = staged(_across(members, held, roots), "across")
-    if not more.isEmpty():
-        roots = components(links.unionByName(verified(more, held, limit)))
+    for pick in (_medoids, _partners):
+        more = staged(_across(members, held, roots, pick), "across")
+        if more.isEmpty():
+            break
+        links = staged(links.unionByName(verified(more, held, limit)), "links")
+        roots = components(links)
     return base.select("doc_id", "digest", "mid").join(nodes, "digest"), roots
 
 
