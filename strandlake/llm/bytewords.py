@@ -63,16 +63,42 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and n+1 offsets of a string array; null is empty."""
+    """UTF-8 bytes and n+1 offsets of a string array; null is empty. The bytes aren't copied."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("")
+    if texts.null_count:
+        texts = texts.fill_null("")
+    width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    if width is np.int32 and not pa.types.is_string(texts.type):
+        texts, width = texts.cast(pa.large_string()), np.int64
     _, off, data = texts.buffers()
-    offsets = np.frombuffer(off, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    offsets = np.frombuffer(off, width)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def released(run):
+    """``run`` over batches, after each of which memory that is no longer used goes back to the system:
+    workers are kept from stage to stage, and what allocators hold would add up."""
+    def own(batches):
+        for out in run(batches):
+            yield out
+            del out
+            pa.default_memory_pool().release_unused()
+            _trim()
+
+    return own
+
+
+def _trim() -> None:
+    import ctypes
+
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: it keeps what it keeps
+
+
 def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts of ``most`` bytes together, or of one longer text."""
     i, n = 0, len(offsets) - 1

@@ -174,7 +174,7 @@ class Model:
                 total = np.concatenate([np.zeros((1, size)), np.cumsum(self.lengths(grams), axis=0)])
                 at = np.clip(own, lo, hi) - lo
                 bits[i:j] -= total[at[1:]] - total[at[:-1]]
-        letters = np.array([bool(t) and LETTER.search(t) is not None for t in texts.to_pylist()], bool) if n else np.zeros(0, bool)
+        letters = np.array([LETTER.search(t.as_py() or "") is not None for t in texts], bool) if n else np.zeros(0, bool)
         if not size:
             return {"lang": np.full(n, -1), "score": np.zeros(n), "bits": np.zeros(n), "bits_next": np.zeros(n)}
         best = bits.argmin(axis=1) if n else np.zeros(0, np.int64)
@@ -219,4 +219,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             cols = [batch.column("doc_id"), batch.column("held_out"), pa.array(names[got["lang"]], pa.string()), *[pa.array(got[k]) for k in ("score", "bits", "bits_next")]]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "lang_pred", "score", "bits", "bits_next"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(B.released(run), SCHEMA)

@@ -32,6 +32,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm import bytewords as B
 from strandlake.llm.common import new_path, staged, text_or_empty
 
 WIDTH, SHARD_BYTES, MOST_DIGESTS, LEVEL = 576, 128 << 20, 500_000, 6
@@ -150,7 +151,7 @@ def stored(rows: DataFrame, ids: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], names=["digest", "shard", "offset", "length"])
 
     # rows that share id and text may have been written by several tasks: one place counts
-    return own.select("digest", "text").mapInArrow(run, MANIFEST).groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("m")).select("digest", "m.*")
+    return own.select("digest", "text").mapInArrow(B.released(run), MANIFEST).groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("m")).select("digest", "m.*")
 
 
 def _by_shard(manifest: DataFrame) -> DataFrame:
@@ -168,7 +169,7 @@ def headers(manifest: DataFrame) -> DataFrame:
             cols = [pa.array([g[i] for g in got], pa.int32()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, "width", "height", "bit_depth"])
 
-    return _by_shard(manifest).mapInArrow(run, f"{MANIFEST}, width int, height int, bit_depth int")
+    return _by_shard(manifest).mapInArrow(B.released(run), f"{MANIFEST}, width int, height int, bit_depth int")
 
 
 def _feature(data: bytes) -> str:
@@ -195,7 +196,7 @@ def features(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     # the headers' rows are already by shard and in order
-    return headers(manifest).mapInArrow(run, f"{MANIFEST}, width int, height int, bit_depth int, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return headers(manifest).mapInArrow(B.released(run), f"{MANIFEST}, width int, height int, bit_depth int, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -126,7 +126,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), lists], names=["doc_id", "digest", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, digest binary, bands array<long>")
+    return docs.mapInArrow(B.released(run), "doc_id long, digest binary, bands array<long>")
 
 
 def shingled(docs: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def shingled(docs: DataFrame) -> DataFrame:
                 cols = [pa.array(c, pa.binary()) for c in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i), *cols], names=["node", "s", "w", "sig"])
 
-    return docs.mapInArrow(run, "node long, s binary, w binary, sig binary")
+    return docs.mapInArrow(B.released(run), "node long, s binary, w binary, sig binary")
 
 
 def verified(pairs: DataFrame, held: DataFrame, limit: float = LIMIT) -> DataFrame:
@@ -169,7 +169,7 @@ def verified(pairs: DataFrame, held: DataFrame, limit: float = LIMIT) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     dealt = heads.unionByName(right).repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(B.released(run), "u long, v long")
 
 
 def _medoids(sig: np.ndarray, root: np.ndarray, meet) -> Iterator[tuple[int, int]]:
@@ -244,7 +244,7 @@ def _across(members: DataFrame, held: DataFrame, roots: DataFrame, pick) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     blocks = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
-    return blocks.mapInArrow(run, "u long, v long").distinct()
+    return blocks.mapInArrow(B.released(run), "u long, v long").distinct()
 
 
 def _with_end(items: Iterator) -> Iterator:

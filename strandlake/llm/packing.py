@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm import bytewords as B
 from strandlake.llm.common import staged
 
 LENGTH, UNIT, BLOCK, END = 2048, 32, 4096, 1
@@ -130,7 +131,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
                     rows += [(doc_id, s, n, crc, len(ids) // 4, units) for s, n, crc, units in pieces(ids)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(B.released(run), PIECES)
 
 
 def balance(lengths: list[int], length: int = LENGTH, unit: int = UNIT, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int, int]]:

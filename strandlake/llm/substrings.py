@@ -119,7 +119,7 @@ def chunked(docs: DataFrame) -> DataFrame:
                 cols = [pa.ListArray.from_arrays(at, np.concatenate([f[k] for f in found]).astype(np.int32 if k < 2 else np.int64)) for k in range(4)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *cols], names=["doc_id", "starts", "ends", "h1", "h2"])
 
-    return docs.mapInArrow(run, CHUNKS)
+    return docs.mapInArrow(B.released(run), CHUNKS)
 
 
 def runs(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:

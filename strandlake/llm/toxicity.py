@@ -200,7 +200,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return own.mapInArrow(run, SCHEMA)
+    return own.mapInArrow(B.released(run), SCHEMA)
 
 
 def reject(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
@@ -211,4 +211,4 @@ def reject(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(score_texts(model, batch.column("text"))["score"] < limit))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(B.released(run), schema)
