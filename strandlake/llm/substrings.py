@@ -7,7 +7,8 @@ them alone: an insertion moves the chunks behind it but doesn't change them, and
 has the same cuts but for ``WINDOW + REACH`` bytes at its start and ``REACH`` at its end.
 
 Chunks are told apart by a 128-bit digest. Those that occur in two documents or more are gathered,
-neighbouring ones joined to runs, and runs of ``LEAST`` bytes or more reported. Digests are counted
+neighbouring ones joined to runs, and runs of ``LEAST`` bytes or more reported, in pieces by the
+document that has their chunks first: a chunk always stays in that one. Digests are counted
 by partial aggregation and joined back by shuffle, so neither a chunk that a third of all rows
 share nor its list of places ever meets in one task.
 
@@ -123,24 +124,41 @@ def chunked(docs: DataFrame) -> DataFrame:
 
 
 def runs(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """docs (doc_id, text) -> (mid, start, end, first: mid of the first document that has the run's
-    first chunk), and (mid, doc_id)."""
+    """docs (doc_id, text) -> (mid, start, end, first: mid of the first document that has the piece,
+    is_first), and (mid, doc_id)."""
     base = staged(chunked(docs).withColumn("mid", F.monotonically_increasing_id()), "chunks")
     rows = base.select("mid", F.posexplode(F.arrays_zip("starts", "ends", "h1", "h2")).alias("k", "c")).select("mid", "k", "c.*")
     again = rows.groupBy("h1", "h2").agg(F.min("mid").alias("first"), F.max("mid").alias("last")).filter("first < last").select("h1", "h2", "first")
-    met = rows.join(staged(again, "repeated"), ["h1", "h2"]).select("mid", "k", "starts", "ends", "first")
+    met = rows.join(staged(again, "repeated"), ["h1", "h2"]).select("mid", "k", "starts", "ends", "first", (F.col("first") == F.col("mid")).alias("own"))
+    return staged(_pieces(met, least), "runs"), base.select("mid", "doc_id")
+
+
+def _pieces(met: DataFrame, least: int) -> DataFrame:
+    """Neighbouring repeated chunks (mid, k, starts, ends, first, own) -> mid, start, end, first, is_first.
+
+    A run is cut where the first document changes. What has its first place elsewhere but is under
+    ``least`` bytes stays with the new text beside it."""
     w = Window.partitionBy("mid").orderBy("k")
-    islands = met.withColumn("island", F.col("k") - F.row_number().over(w))
-    found = islands.groupBy("mid", "island").agg(F.min("starts").alias("start"), F.max("ends").alias("end"), F.min(F.struct("k", "first")).alias("f"))
-    return staged(found.filter(F.col("end") - F.col("start") >= least).select("mid", "start", "end", F.col("f.first").alias("first")), "runs"), base.select("mid", "doc_id")
+    before = lambda c: F.lag(c).over(w)
+    marked = met.withColumn("r", F.coalesce(F.col("k") != before("k") + 1, F.lit(True)))
+    marked = marked.withColumn("s", F.col("r") | (F.col("own") != before("own"))).withColumn("p", F.col("s") | (F.col("first") != before("first")))
+    marked = marked.select("mid", "starts", "ends", "first", "own", *[F.sum(F.col(c).cast("int")).over(w).alias(c) for c in "rsp"])
+    parts = marked.groupBy("mid", "p").agg(F.min("starts").alias("start"), F.max("ends").alias("end"), *[F.min(c).alias(c) for c in ("first", "own", "r", "s")])
+    size = lambda c: F.max("end").over(Window.partitionBy("mid", c)) - F.min("start").over(Window.partitionBy("mid", c))
+    parts = parts.withColumn("size", size("r")).withColumn("is_first", F.col("own") | (size("s") < least)).filter(F.col("size") >= least)
+    w = Window.partitionBy("mid", "r").orderBy("p")
+    parts = parts.withColumn("g", F.coalesce(~F.col("is_first") | ~F.lag("is_first").over(w), F.lit(True)))
+    parts = parts.withColumn("g", F.sum(F.col("g").cast("int")).over(w))
+    out = parts.groupBy("mid", "r", "g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first").alias("first"), F.min("is_first").alias("is_first"))
+    return out.select("mid", "start", "end", F.when(F.col("is_first"), F.col("mid")).otherwise(F.col("first")).alias("first"), "is_first")
 
 
 def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, start, end (bytes of the text's UTF-8, end exclusive), first_doc_id, is_first of every
-    repeated run; ``is_first`` marks those of the first document that has them."""
+    repeated run's pieces; ``is_first`` marks those of the first document that has them."""
     found, ids = runs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), least)
     named = found.join(ids, "mid").join(ids.select(F.col("mid").alias("first"), F.col("doc_id").alias("first_doc_id")), "first")
-    return named.select("doc_id", "start", "end", "first_doc_id", (F.col("mid") == F.col("first")).alias("is_first"))
+    return named.select("doc_id", "start", "end", "first_doc_id", "is_first")
 
 
 def cut(docs: DataFrame, least: int = LEAST, text_col: str = "text") -> DataFrame:

@@ -135,6 +135,19 @@ def test_repeated_passages(docs, empty):
     assert by[10].encode()[span.start : span.end].decode() in PASSAGE and substrings.repeats(empty).count() == 0
 
 
+def test_copies_keep_what_only_their_opening_shares_with_others(spark):
+    opening, small = prose(60), prose(40)[:90]
+    body = prose(80) + " " + small + " " + prose(80)
+    own = [(1, prose(40) + "\n" + opening + "\n" + prose(40)), (2, small), (5, opening + "\n" + body), (6, opening + "\n" + body)]
+    df = spark.createDataFrame(own, "doc_id long, text string").coalesce(1)
+    got = defaultdict(list)
+    for r in sorted(substrings.repeats(df).collect(), key=lambda r: r.start):
+        got[r.doc_id].append((r.first_doc_id, r.is_first))
+    assert got[1] == [(1, True)] and (1, False) in got[5] and got[5][-1] == (5, True) and {(1, False), (5, False)} <= set(got[6]) and not any(x for _, x in got[6])
+    left = {r.doc_id: r.text for r in substrings.cut(df).collect()}
+    assert left[1] == own[0][1] and body in left[5] and opening not in left[5] and body not in left[6]
+
+
 def test_chunks_resist_insertions():
     a = LONG.encode()
     b = b"inserted words " + a[:9000] + b" and more " + a[9000:]
