@@ -6,15 +6,15 @@ either side (the first of equals), moved on to the next character. Cuts follow f
 them alone: an insertion moves the chunks behind it but doesn't change them, and a repeated passage
 has the same cuts but for ``WINDOW + REACH`` bytes at its start and ``REACH`` at its end.
 
-Chunks are told apart by a 128-bit digest. Those that occur in two documents or more are gathered,
-neighbouring ones joined to runs, and runs of ``LEAST`` bytes or more reported, in pieces by the
-document that has their chunks first: a chunk always stays in that one. Digests are counted
+Chunks are told apart by a 128-bit digest. Those that occur twice or more, in one document or
+several, are gathered, neighbouring ones joined to runs, and runs of ``LEAST`` bytes or more reported, in
+pieces by the document that has their chunks first: a chunk always stays at its first place. Digests are counted
 by partial aggregation and joined back by shuffle, so neither a chunk that a third of all rows
 share nor its list of places ever meets in one task.
 
 Defined cases: null and empty texts have no chunk; equal texts repeat each other whole (if they have
-``LEAST`` bytes); a passage that repeats within one document only isn't reported; an empty table
-gives no rows; extra columns are left out of ``repeats`` and kept by ``cut``.
+``LEAST`` bytes); repeats within one document count as others do, but text of a period of ``REACH``
+bytes or less has no cuts; an empty table gives no rows; extra columns are left out of ``repeats`` and kept by ``cut``.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ WINDOW, REACH, LEAST = 16, 20, 100
 GEAR = (B.mix(np.arange(1001, 1257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _U = np.uint64
 _BASE2 = 0xD1342543DE82EF93
-CHUNKS = "doc_id long, starts array<int>, ends array<int>, h1 array<long>, h2 array<long>"
+CHUNKS = "doc_id long, starts array<int>, ends array<int>, h1 array<long>, h2 array<long>, news array<boolean>"
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -109,6 +109,15 @@ def chunks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return starts, ends, *hashes
 
 
+def _news(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which chunks are the first of their digest in their text."""
+    order = np.lexsort((h2, h1, doc))  # stable: equals stay in order
+    a, b, d = h1[order], h2[order], doc[order]
+    out = np.ones(len(order), bool)
+    out[order[1:]] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (d[1:] != d[:-1])
+    return out
+
+
 def chunked(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,8 +126,10 @@ def chunked(docs: DataFrame) -> DataFrame:
                 hi = min(len(batch), lo + 256)
                 found = [chunks(data[offsets[i] : offsets[i + 1]]) for i in range(lo, hi)]
                 at = np.concatenate([[0], np.cumsum([len(f[0]) for f in found])]).astype(np.int32)
-                cols = [pa.ListArray.from_arrays(at, np.concatenate([f[k] for f in found]).astype(np.int32 if k < 2 else np.int64)) for k in range(4)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *cols], names=["doc_id", "starts", "ends", "h1", "h2"])
+                flat = [np.concatenate([f[k] for f in found]).astype(np.int32 if k < 2 else np.int64) for k in range(4)]
+                flat.append(_news(flat[2], flat[3], np.repeat(np.arange(hi - lo), np.diff(at))))
+                cols = [pa.ListArray.from_arrays(at, pa.array(x)) for x in flat]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *cols], names=["doc_id", "starts", "ends", "h1", "h2", "news"])
 
     return docs.mapInArrow(B.released(run), CHUNKS)
 
@@ -127,9 +138,10 @@ def runs(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text) -> (mid, start, end, first: mid of the first document that has the piece,
     is_first), and (mid, doc_id)."""
     base = staged(chunked(docs).withColumn("mid", F.monotonically_increasing_id()), "chunks")
-    rows = base.select("mid", F.posexplode(F.arrays_zip("starts", "ends", "h1", "h2")).alias("k", "c")).select("mid", "k", "c.*")
-    again = rows.groupBy("h1", "h2").agg(F.min("mid").alias("first"), F.max("mid").alias("last")).filter("first < last").select("h1", "h2", "first")
-    met = rows.join(staged(again, "repeated"), ["h1", "h2"]).select("mid", "k", "starts", "ends", "first", (F.col("first") == F.col("mid")).alias("own"))
+    rows = base.select("mid", F.posexplode(F.arrays_zip("starts", "ends", "h1", "h2", "news")).alias("k", "c")).select("mid", "k", "c.*")
+    again = rows.groupBy("h1", "h2").agg(F.min("mid").alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first")
+    own = (F.col("first") == F.col("mid")) & F.col("news")
+    met = rows.join(staged(again, "repeated"), ["h1", "h2"]).select("mid", "k", "starts", "ends", "first", own.alias("own"))
     return staged(_pieces(met, least), "runs"), base.select("mid", "doc_id")
 
 
@@ -155,14 +167,14 @@ def _pieces(met: DataFrame, least: int) -> DataFrame:
 
 def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, start, end (bytes of the text's UTF-8, end exclusive), first_doc_id, is_first of every
-    repeated run's pieces; ``is_first`` marks those of the first document that has them."""
+    repeated run's pieces; ``is_first`` marks the first place of all."""
     found, ids = runs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), least)
     named = found.join(ids, "mid").join(ids.select(F.col("mid").alias("first"), F.col("doc_id").alias("first_doc_id")), "first")
     return named.select("doc_id", "start", "end", "first_doc_id", "is_first")
 
 
 def cut(docs: DataFrame, least: int = LEAST, text_col: str = "text") -> DataFrame:
-    """``docs`` without the repeated runs of all but their first documents; ids must be unique."""
+    """``docs`` without repeated runs at all but their first places; ids must be unique."""
     spans = repeats(docs.select("doc_id", F.col(text_col).alias("text")), least).filter("not is_first")
     spans = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
 

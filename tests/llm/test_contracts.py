@@ -148,6 +148,19 @@ def test_copies_keep_what_only_their_opening_shares_with_others(spark):
     assert left[1] == own[0][1] and body in left[5] and opening not in left[5] and body not in left[6]
 
 
+def test_passages_that_one_document_repeats_stay_once(spark):
+    inner, shared = prose(60), prose(60)
+    own = [(1, " | ".join(x for _ in range(5) for x in (inner, prose(20)))), (2, " | ".join(x for _ in range(3) for x in (shared, prose(20)))), (3, prose(30) + shared)]
+    df = spark.createDataFrame(own, "doc_id long, text string").coalesce(1)
+    got = defaultdict(list)
+    for r in sorted(substrings.repeats(df).collect(), key=lambda r: r.start):
+        got[r.doc_id].append((r.first_doc_id, r.is_first))
+    # where cuts at a passage's ends differ, short pieces at them have their first place later
+    assert all(got[i][0] == (i, True) and got[i].count((i, False)) >= n for i, n in ((1, 4), (2, 2))) and got[3] == [(2, False)]
+    left = {r.doc_id: r.text for r in substrings.cut(df).collect()}
+    assert left[1].count(inner[100:-100]) == left[2].count(shared[100:-100]) == 1 and shared[100:-100] not in left[3]
+
+
 def test_chunks_resist_insertions():
     a = LONG.encode()
     b = b"inserted words " + a[:9000] + b" and more " + a[9000:]
