@@ -13,11 +13,13 @@ doesn't change with a text's length, and is the plain Jaccard where weights are
    from both texts' shingles. Components of verified pairs are found.
 4. Buckets that still hold several components are compared again, in blocks: registers estimate J for
    pairs of different components. First the block's medoid (near copies of one text may be near to it,
-   but less near to each other) and then each node's best partner in every other component is verified,
-   if the estimate is ``ESTIMATE`` or more (five standard errors under 0.8). A pair is only looked at
-   in the first band that it shares.
+   but less near to each other) and then each node's best partners in every other component are verified,
+   if the estimate is ``ESTIMATE`` or more (five standard errors under 0.8): one each at first, then
+   ``GROWTH`` times as many a round, until no candidate between components is left. A pair is only
+   looked at in the first band that it shares.
 
-No step emits all pairs of a group: a group of n copies gives n pairs with its centre. A centre with
+A group of n copies gives n pairs with its centre, not all pairs; all candidates are verified only between
+components that stay apart. A centre with
 many partners is dealt over several tasks, its shingles going along to each.
 
 Defined cases: a null text counts as empty; texts without words are near nothing but equal texts; a
@@ -40,7 +42,7 @@ from strandlake.operators.graph import components
 
 SIZE, LIMIT, ROWS, BANDS, ESTIMATE = 5, 0.8, 7, 56, 0.70
 REGISTERS = ROWS * BANDS
-SHARE, BLOCK, MOST_KEYS = 400, 1024, 300_000
+SHARE, BLOCK, MOST_KEYS, GROWTH = 400, 1024, 300_000, 8
 _U = np.uint64
 
 
@@ -182,16 +184,22 @@ def _medoids(sig: np.ndarray, root: np.ndarray, meet) -> Iterator[tuple[int, int
         yield k, a
 
 
-def _partners(sig: np.ndarray, root: np.ndarray, meet) -> Iterator[tuple[int, int]]:
-    """The best partner in every other component of each member, but those of the largest component:
-    they are others' partners."""
-    names, n = np.unique(root, return_counts=True)
-    for k in np.flatnonzero(root != names[n.argmax()]):
-        at, near = meet(k)
-        order = np.lexsort((at, -near, root[at]))
-        at = at[order]
-        for a in at[np.unique(root[at], return_index=True)[1]]:
-            yield k, a
+def _partners(most: int):
+    """The ``most`` best partners in every other component of each member, but those of the largest
+    component: they are others' partners. A pair (-1, -1) says that there are more."""
+    def pick(sig: np.ndarray, root: np.ndarray, meet) -> Iterator[tuple[int, int]]:
+        names, n = np.unique(root, return_counts=True)
+        for k in np.flatnonzero(root != names[n.argmax()]):
+            at, near = meet(k)
+            at = at[np.lexsort((at, -near, root[at]))]
+            _, start, size = np.unique(root[at], return_index=True, return_counts=True)
+            rank = np.arange(len(at)) - np.repeat(start, size)
+            for a in at[rank < most]:
+                yield k, a
+            if len(size) and size.max() > most:
+                yield -1, -1
+
+    return pick
 
 
 def _across(members: DataFrame, held: DataFrame, roots: DataFrame, pick) -> DataFrame:
@@ -220,7 +228,7 @@ def _across(members: DataFrame, held: DataFrame, roots: DataFrame, pick) -> Data
                 at = at[~equal[at, : b * ROWS].reshape(len(at), b, ROWS).all(axis=2).any(axis=1)]
             return at, near[at]
 
-        out = sorted({(min(node[k], node[a]), max(node[k], node[a])) for k, a in pick(sig, root, meet)})
+        out = sorted({(min(node[k], node[a]), max(node[k], node[a])) if k >= 0 else (-1, -1) for k, a in pick(sig, root, meet)})
         return [u for u, _ in out], [v for _, v in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,12 +276,21 @@ def grouped(docs: DataFrame, limit: float = LIMIT) -> tuple[DataFrame, DataFrame
     stars = members.filter("node != centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
     links = staged(verified(staged(stars, "stars"), held, limit), "links")
     roots = components(links)
-    for pick in (_medoids, _partners):
-        more = staged(_across(members, held, roots, pick), "across")
-        if more.isEmpty():
-            break
-        links = staged(links.unionByName(verified(more, held, limit)), "links")
-        roots = components(links)
+    tried = staged(_across(members, held, roots, _medoids), "across")
+    if tried.isEmpty():
+        return base.select("doc_id", "digest", "mid").join(nodes, "digest"), roots
+    links = staged(links.unionByName(verified(tried, held, limit)), "links")
+    roots = components(links)
+    most, more = 1, True
+    while more:  # until no candidate between components is left: more partners a round, none verified twice
+        found = staged(_across(members, held, roots, _partners(most)), "across")
+        more = not found.filter("u < 0").isEmpty()
+        new = staged(found.filter("u >= 0").join(tried, ["u", "v"], "left_anti"), "partners")
+        near = staged(verified(new, held, limit), "near")
+        if not near.isEmpty():
+            links = staged(links.unionByName(near), "links")
+            roots = components(links)
+        tried, most = tried.unionByName(new), GROWTH * most
     return base.select("doc_id", "digest", "mid").join(nodes, "digest"), roots
 
 

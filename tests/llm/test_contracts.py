@@ -114,6 +114,28 @@ def test_near_duplicates(docs, empty):
     assert neardup.classes(empty).count() == 0 and neardup.distinct(empty).count() == 0
 
 
+def test_groups_around_the_limit_lose_no_link(spark):
+    rng = random.Random(3)
+    own = []
+    for g in range(4):
+        base = [rng.choice(WORDS) for _ in range(304)]
+        for i in range(70):
+            w = list(base)
+            for j in rng.sample(range(304), 3 if i % 7 == 0 else 4):
+                w[j] = rng.choice(WORDS)
+            own.append((100 * g + i, " ".join(w)))
+    data, offsets = neardup.B.buffers(neardup.pa.array([t for _, t in own]))
+    s, w, d = neardup.weighted(data, offsets)
+    held = [(s[d == k], w[d == k]) for k in range(len(own))]
+    up = list(range(len(own)))
+    for a in range(len(own)):
+        for b in range(a):
+            if own[a][0] // 100 == own[b][0] // 100 and up[a] != up[b] and neardup.similarity(*held[a], *held[b]) >= 0.8:
+                up = [min(up[a], up[b]) if x in (up[a], up[b]) else x for x in up]
+    got = neardup.classes(spark.createDataFrame(own, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: own[up[k]][0] for k, (i, _) in enumerate(own)}
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(2)
     s = np.sort(neardup.B.mix(np.arange(1, 301, dtype=np.uint64)))
