@@ -277,10 +277,9 @@ def grouped(docs: DataFrame, limit: float = LIMIT) -> tuple[DataFrame, DataFrame
     links = staged(verified(staged(stars, "stars"), held, limit), "links")
     roots = components(links)
     tried = staged(_across(members, held, roots, _medoids), "across")
-    if tried.isEmpty():
-        return base.select("doc_id", "digest", "mid").join(nodes, "digest"), roots
-    links = staged(links.unionByName(verified(tried, held, limit)), "links")
-    roots = components(links)
+    if not tried.isEmpty():
+        links = staged(links.unionByName(verified(tried, held, limit)), "links")
+        roots = components(links)
     most, more = 1, True
     while more:  # until no candidate between components is left: more partners a round, none verified twice
         found = staged(_across(members, held, roots, _partners(most)), "across")

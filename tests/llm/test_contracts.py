@@ -114,7 +114,10 @@ def test_near_duplicates(docs, empty):
     assert neardup.classes(empty).count() == 0 and neardup.distinct(empty).count() == 0
 
 
-def test_groups_around_the_limit_lose_no_link(spark):
+@pytest.mark.parametrize("medoids", [True, False])
+def test_groups_around_the_limit_lose_no_link(spark, monkeypatch, medoids):
+    if not medoids:  # partners are looked for even if no medoid meets another component
+        monkeypatch.setattr(neardup, "_medoids", lambda sig, root, meet: iter(()))
     rng = random.Random(3)
     own = []
     for g in range(4):
