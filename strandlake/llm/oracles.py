@@ -23,17 +23,17 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-def _matches(name: str, pattern: str, group: int) -> str:
+def _matches(name: str, pattern: str, group: int, source: str = "d") -> str:
     """(rid, start, m, v) of every match: its place from the texts between matches."""
     p = _quoted(pattern)
     size = "coalesce(list_sum(list_transform({}, lambda x: length(x))), 0)"
     return f"""{name} AS (SELECT rid, CAST({size.format("g[1:i]")} + {size.format("m[1:i - 1]")} AS BIGINT) AS start, m[i] AS m, v[i] AS v FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM
-(SELECT rid, regexp_extract_all(t, {p}) AS m, regexp_extract_all(t, {p}, {group}) AS v, string_split_regex(t, {p}) AS g FROM d WHERE regexp_matches(t, {p}))))"""
+(SELECT rid, regexp_extract_all(t, {p}) AS m, regexp_extract_all(t, {p}, {group}) AS v, string_split_regex(t, {p}) AS g FROM {source} WHERE regexp_matches(t, {p}))))"""
 
 
 def _entropy(name: str, chars: str, window: int, least: float) -> str:
     """Windows of the runs that aren't allowed, those of enough entropy, and what they cover."""
-    return f"""{_matches(f"{name}_r", f"[{chars}]{{{window},}}", 0)},
+    return f"""{_matches(f"{name}_r", f"[{chars}]{{{window},}}", 0, "blanked")},
 {name}_w AS (SELECT rid, start, unnest(range(0, length(m) - {window} + 1)) AS i, m FROM {name}_r WHERE NOT regexp_matches(m, {_quoted(secrets.ALLOW)})),
 {name}_c AS (SELECT rid, start, i, ch, count(*) AS c FROM (SELECT rid, start, i, unnest(string_split(substr(m, i + 1, {window}), '')) AS ch FROM {name}_w) GROUP BY ALL),
 {name}_h AS (SELECT rid, start, i FROM {name}_c GROUP BY rid, start, i HAVING sum(CAST(round(c * log2(c) * 1e6) AS BIGINT)) <= {secrets.most_terms(window, least)}),
@@ -41,7 +41,7 @@ def _entropy(name: str, chars: str, window: int, least: float) -> str:
 {name} AS (SELECT rid, start + min(i) AS start, start + max(i) + {window} AS stop FROM {name}_g GROUP BY rid, {name}_g.start, g)"""
 
 
-SECRETS = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+SECRETS = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), blanked AS (SELECT rid, doc_id, regexp_replace(t, '{secrets.PLACEHOLDER}', '{secrets.BLANK}', 'g') AS t FROM d),
 {_matches("a", secrets.ASSIGN, 2)}, {_matches("k", secrets.ACCESS, 0)}, {_matches("x", secrets.HEX, 0)},
 {_entropy("eh", "0-9A-Fa-f", 24, 3.0)}, {_entropy("eb", "A-Za-z0-9+/_=-", 24, 4.0)},
 s AS (SELECT rid, start, start + length(m) AS stop, 0 AS ord, 'assign' AS kind FROM a WHERE length(v) >= 6 UNION ALL SELECT rid, start, start + length(m), 1, 'access' FROM k WHERE length(m) >= 20 UNION ALL SELECT rid, start, start + length(m), 2, 'hex' FROM x

@@ -45,7 +45,7 @@ def contamination(docs, items, n=10):
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_b64")
-ALLOW = re.compile(r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$|EXAMPLE|example|^[^0-9]*$|^[^A-Za-z]*$")
+ALLOW = re.compile(r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$|^[^0-9A-Z]*$|^[^0-9a-z]*$|^[^A-Za-z]*$")
 
 
 def entropy(s):
@@ -59,7 +59,7 @@ def secret_spans(text):
     base += [("hex", m.start(), m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
     more = []
     for kind, chars, least in (("entropy_hex", "0-9A-Fa-f", 3.0), ("entropy_b64", "A-Za-z0-9+/_=-", 4.0)):
-        for m in re.finditer(f"[{chars}]{{24,}}", text):
+        for m in re.finditer(f"[{chars}]{{24,}}", re.sub("example|EXAMPLE", " " * 7, text)):
             run = m[0]
             if ALLOW.search(run):
                 continue
