@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandlake.storage import new_path, staged, work_dir
 
-__all__ = ["disjoint", "joined", "let", "new_path", "own_name", "running", "staged", "table", "text_or_empty", "work_dir"]
+__all__ = ["disjoint", "joined", "let", "new_path", "own_name", "running", "shielded", "staged", "table", "text_or_empty", "work_dir"]
 
 #: A key counts as hot if it has more than one in ``HOT`` of all rows, so fewer than ``HOT`` keys do.
 HOT, LEAST_HOT = 1000, 200
@@ -33,6 +33,12 @@ def own_name(label: str) -> str:
     return f"_{label}_{uuid.uuid4().hex}"
 
 
+def shielded(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns of names that no table has, and these by the old ones."""
+    names = {c: own_name("c") for c in docs.columns}
+    return docs.toDF(*names.values()), names
+
+
 def _inside(v: Column, k: Column) -> Column:
     """Places of the k-th of about sqrt(n) parts of an array of n."""
     width = F.greatest(F.ceil(F.sqrt(F.size(v))), F.lit(1)).cast("int")

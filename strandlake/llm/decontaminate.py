@@ -3,19 +3,23 @@
 Text is lower-cased in A-Z only; words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``. A window is
 ``n`` consecutive words of an item; an item of fewer words (but not none) is one window. Each
 document is scanned once: at every word a key over four words of the window there is looked up in
-the hash set; hits are then verified on the window's words, so keys that agree by chance do no
+the hash set; candidates are then verified on the window's words, so keys that agree by chance do no
 harm. All of it runs on DataFrame functions.
 
-The hash set goes to the tasks as a literal set while it holds no more than ``inline_keys`` keys,
-and as a table that is joined on the key beyond that. The verified windows are broadcast under the
-same condition.
+The hash set is a bit table with ``BITS`` bits and ``PROBES`` probes a key, sent to the tasks as a literal. One table
+holds at most ``keys_per_pass`` keys; a larger benchmark is dealt over several tables, with a scan
+for each, so what is sent has a bound and no window is ever shuffled unless a table answers for it.
+The windows that candidates are verified on are broadcast while they measure no more than
+``most_bytes``, and joined by shuffle beyond.
 
 Verified hits are gathered per distinct text, not per row, so a third of all rows being copies of
-one contaminated text is a few rows to the join; rows without a candidate never reach it.
+one contaminated text is a few rows to the join; rows without a candidate never reach it, and those
+of a text that many rows have aren't dealt by it (``common.joined``).
 
 Defined cases: a null text has no words (0 words, 0 hits, not contaminated); a null item text has
 no window; a null item_id still marks words but isn't listed; repeated rows each get their result;
-an empty benchmark marks nothing; extra columns are left out of ``scan`` and kept by ``clean``.
+an empty benchmark marks nothing; extra columns are left out of ``scan`` and kept by ``clean``,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -23,13 +27,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import let, staged, text_or_empty
+from strandlake.llm.common import disjoint, joined, let, own_name, shielded, staged, text_or_empty
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before A-Z are lower-cased
 N = 10
-INLINE_KEYS = 100_000
+BITS, PROBES, KEYS_PER_PASS, MOST_BYTES = 32, 3, 500_000, 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -62,40 +66,47 @@ def windows(benchmark: DataFrame, n: int = N, id_col: str = "item_id", text_col:
     return out.groupBy("k", "key", "win").agg(F.collect_set("item").alias("items"))
 
 
-def _hits(docs: DataFrame, found: DataFrame, inline_keys: int) -> tuple[DataFrame, bool]:
-    """docs (``doc_id``, ``text``) -> doc_id, n_words, digest, hits: array of (start, k, win)."""
-    sizes = {r["k"]: r["n"] for r in found.groupBy("k").agg(F.countDistinct("key").alias("n")).collect()}
-    small = sum(sizes.values()) <= inline_keys
-    none = F.array().cast("array<struct<start:int,k:int,win:string>>")
-    if not small:
-        # too many keys for a literal set: every window's key becomes a row and meets the table
-        keyed = docs.select("digest", "text").dropDuplicates(["digest"])
-        rows = None
-        for k in sorted(sizes):
-            own = keyed.select("digest", F.explode(let(words(F.col("text")), lambda w: F.transform(_starts(w, k), lambda i: F.struct(i.alias("start"), F.lit(k).alias("k"), _key(w, i, k).alias("key"), _window(w, i, k).alias("win"))))).alias("x")).select("digest", "x.*")
-            rows = own if rows is None else rows.unionByName(own)
-        met = rows.join(found.select("k", "key").distinct(), ["k", "key"], "left_semi")
-        return met.select("digest", "start", "k", "win"), False
-    keys = {k: [r["key"] for r in found.filter(F.col("k") == k).select("key").distinct().collect()] for k in sizes}
+def _place(key: Column, probe: int, size: int) -> Column:
+    """A key's ``probe``-th place of ``size``."""
+    first = F.pmod(key, F.lit(size).cast("long"))
+    return F.pmod(first + F.pmod(F.xxhash64(key, F.lit(7)), F.lit(size).cast("long")) * probe, F.lit(size).cast("long")) if probe else first
+
 
-    def scan(w: Column) -> Column:
-        parts = [F.transform(F.filter(_starts(w, k), lambda i: _key(w, i, k).isin(keys[k])), lambda i: F.struct(i.alias("start"), F.lit(k).alias("k"), _window(w, i, k).alias("win"))) for k in sorted(keys)]
-        return F.struct(F.size(w).cast("long").alias("n_words"), (F.concat(*parts) if parts else none).alias("hits"))
+def _tables(found: DataFrame, keys_per_pass: int) -> list[tuple[int, str]]:
+    """Bit tables of all keys of ``found``: (number of bits, their longs as text)."""
+    keys = found.select("key").distinct()
+    n = keys.count()
+    passes, out = -(-n // keys_per_pass), []
+    for k in range(passes):
+        own = keys.filter(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(passes)) == k)
+        size = -(-max(1024, own.count() * BITS) // 64) * 64
+        at = own.select(F.explode(F.array(*[_place(F.col("key"), j, size) for j in range(PROBES)])).alias("at"))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
+        longs = ["0"] * (size // 64)
+        for r in at.groupBy(F.floor(F.col("at") / 64).cast("int").alias("i")).agg(F.bit_or(bit).alias("v")).collect():
+            longs[r["i"]] = str(r["v"])
+        out.append((size, ",".join(longs)))
+    return out
 
-    return docs.withColumn("_s", let(words(F.col("text")), scan)).select("doc_id", "digest", "_s.n_words", "_s.hits"), True
 
+def _candidates(w: Column, ks: list[int], table: tuple[int, str]) -> Column:
+    """(start, k, win) of the windows of the words ``w`` whose keys the table answers for."""
+    size, longs = table
+    bits = F.split(F.lit(longs), ",").cast("array<long>")  # of literals alone: made once
 
-def merged(spans: Column) -> Column:
-    """The (start, end) spans as a sorted array of disjoint ones."""
-    span = "struct<start:int,end:int>"
-    zero = F.struct(F.array().cast(f"array<{span}>").alias("done"), F.lit(None).cast(span).alias("open"))
+    def holds(key: Column) -> Column:
+        out = F.lit(True)
+        for j in range(PROBES):
+            at = _place(key, j, size)
+            out = out & (F.call_function("shiftrightunsigned", F.get(bits, F.floor(at / 64).cast("int")), (at % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
+        return out
 
-    def step(s: Column, x: Column) -> Column:
-        apart = s["open"].isNotNull() & (x["start"] > s["open"]["end"])
-        grown = F.struct(F.least(s["open"]["start"], x["start"]).alias("start"), F.greatest(s["open"]["end"], x["end"]).alias("end"))
-        return F.struct(F.when(apart, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]).alias("done"), F.when(apart, x).otherwise(grown).cast(span).alias("open"))
+    def of(k: int) -> Column:
+        keys = F.transform(_starts(w, k), lambda i: _key(w, i, k))
+        some = lambda x: F.transform(F.filter(_starts(w, k), lambda i: holds(x[i])), lambda i: F.struct(i.alias("start"), F.lit(k).alias("k"), _window(w, i, k).alias("win")))
+        return let(keys, some)
 
-    return F.aggregate(F.sort_array(spans), zero, step, lambda s: F.when(s["open"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
+    return F.concat(*[of(k) for k in ks])
 
 
 def _covered(spans: Column) -> Column:
@@ -103,57 +114,82 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + (x["end"] - x["start"]).cast("long"))
 
 
-def verified(docs: DataFrame, benchmark: DataFrame, n: int = N, inline_keys: int = INLINE_KEYS) -> tuple[DataFrame, DataFrame]:
-    """Per row: doc_id, n_words, digest. Per distinct text with hits: digest, spans, items."""
+def verified(docs: DataFrame, benchmark: DataFrame, n: int = N, keys_per_pass: int = KEYS_PER_PASS, most_bytes: int = MOST_BYTES) -> tuple[DataFrame, DataFrame, list, list]:
+    """Per row: doc_id, n_words, digest (null: no candidate). Per distinct text with hits: digest, spans,
+    items. And the window lengths and tables."""
     found = staged(windows(benchmark, n), "windows")
-    base = docs.select("doc_id", text_or_empty("text").alias("text")).withColumn("digest", F.sha2("text", 256))
-    hits, inline = _hits(base, found, inline_keys)
-    if inline:
-        rows = staged(hits.withColumn("digest", F.when(F.size("hits") > 0, F.col("digest"))), "hits")
-        cands = rows.filter(F.size("hits") > 0).dropDuplicates(["digest"]).select("digest", F.explode("hits").alias("x")).select("digest", "x.*")
-        rows, sets = rows.drop("hits"), F.broadcast(found.select("k", "win", "items"))
+    ks, tables = [r["k"] for r in found.select("k").distinct().orderBy("k").collect()], _tables(found, keys_per_pass)
+    base = docs.select("doc_id", text_or_empty("text").alias("text"))
+    none = F.array().cast("array<struct<start:int,k:int,win:string>>")
+    rows = cands = None
+    for table in tables or [None]:
+        scan = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), (_candidates(w, ks, table) if table else none).alias("hits"))  # noqa: B023, E731
+        own = base.withColumn("s", let(words(F.col("text")), scan)).withColumn("digest", F.when((F.size("s.hits") > 0) | F.lit(len(tables) > 1), F.sha2("text", 256)))
+        if len(tables) > 1:
+            if rows is None:
+                rows = staged(own.select("doc_id", "s.n_words", "digest"), "counts")
+            some = own.filter(F.size("s.hits") > 0).select("digest", "s.hits")
+        else:
+            own = staged(own.select("doc_id", "s.n_words", "digest", "s.hits"), "hits")
+            rows, some = own.drop("hits"), own.filter(F.size("hits") > 0).select("digest", "hits")
+        some = some.dropDuplicates(["digest"]).select("digest", F.explode("hits").alias("x")).select("digest", "x.*")
+        cands = some if cands is None else cands.unionByName(some)
+    sets = found.select("k", "win", "items")
+    if (sets.agg(F.sum(F.octet_length("win") + F.octet_length(F.array_join("items", ",")) + 64)).first()[0] or 0) <= most_bytes:
+        met = cands.join(F.broadcast(sets), ["k", "win"])
     else:
-        rows = base.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"), "digest")
-        cands, sets = hits, found.select("k", "win", "items")
-    spans = cands.join(sets, ["k", "win"]).groupBy("digest").agg(
-        merged(F.collect_set(F.struct("start", (F.col("start") + F.col("k")).alias("end")))).alias("spans"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    )
-    return rows, spans
+        met = joined(staged(cands, "windows"), sets, ["k", "win"])
+    ends = F.struct("start", (F.col("start") + F.col("k")).alias("end"))
+    spans = met.groupBy("digest").agg(F.collect_set(ends).alias("all"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    return rows, disjoint(spans, "all", "spans").select("digest", "spans", "items"), ks, tables
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, inline_keys: int = INLINE_KEYS) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, keys_per_pass: int = KEYS_PER_PASS, most_bytes: int = MOST_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``docs``."""
-    rows, spans = verified(docs, benchmark, n, inline_keys)
+    rows, spans, _, _ = verified(docs, benchmark, n, keys_per_pass, most_bytes)
     spans = staged(spans.select("digest", _covered(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")), "spans")
     empty = F.sha2(F.lit(""), 256)
     out = lambda df, hit, items, sha: df.select("doc_id", "n_words", hit.alias("n_hit"), items.alias("n_items"), sha.alias("items_sha256"), (hit > 0).alias("contaminated"))
     zero = F.lit(0).cast("long")
     clean = out(rows.filter(F.col("digest").isNull()), zero, zero, empty)
-    met = rows.filter(F.col("digest").isNotNull()).join(spans, "digest", "left")
+    met = joined(rows.filter(F.col("digest").isNotNull()), spans, ["digest"], "left")
     return clean.unionByName(out(met, F.coalesce("n_hit", zero), F.coalesce("n_items", zero), F.coalesce("items_sha256", empty)))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, most: float = 0.5, text_col: str = "text", length_col: str | None = "n_chars", inline_keys: int = INLINE_KEYS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, most: float = 0.5, text_col: str = "text", length_col: str | None = "n_chars", keys_per_pass: int = KEYS_PER_PASS, most_bytes: int = MOST_BYTES) -> DataFrame:
     """``docs`` with the words of benchmark windows cut out; documents of which more than ``most``
     of the words are hit go. All columns of ``docs`` stay; ``length_col`` is set anew where text
-    changes. Texts without a hit stay as they are."""
-    src = docs.withColumn("_digest", F.sha2(text_or_empty(text_col), 256))
-    rows, spans = verified(docs.select(F.lit(None).alias("doc_id"), F.col(text_col).alias("text")), benchmark, n, inline_keys)
-    spans = staged(spans.select(F.col("digest").alias("_digest"), F.col("spans").alias("_spans"), _covered(F.col("spans")).alias("_n_hit")), "spans")
-    # few texts are hit; where they are many, the join deals rows by digest
-    met = src.join(F.broadcast(spans) if spans.count() <= inline_keys else spans, "_digest", "left")
+    changes. Texts without a hit stay as they are.
+
+    Hit texts' spans are broadcast while they measure no more than ``most_bytes``. Beyond that rows whose text has a
+    candidate, and no others, are joined by digest."""
+    own, names = shielded(docs)
+    digest, where, hits, changed = (own_name(x) for x in ("digest", "spans", "hits", "text"))
+    text = F.col(names[text_col])
+    _, spans, ks, tables = verified(docs.select(F.lit(None).alias("doc_id"), F.col(text_col).alias("text")), benchmark, n, keys_per_pass, most_bytes)
+    spans = staged(spans.select(F.col("digest").alias(digest), F.col("spans").alias(where), _covered(F.col("spans")).alias(hits)), "spans")
+    src = own.withColumn(digest, F.sha2(text_or_empty(text), 256))
+    if (spans.agg(F.sum(F.size(where) * 16 + 96)).first()[0] or 0) <= most_bytes:
+        met = src.join(F.broadcast(spans), digest, "left")
+    else:
+        maybe = own_name("maybe")
+        src = src.withColumn(maybe, let(words(text), lambda w: F.concat(*[_candidates(w, ks, t) for t in tables])))
+        src = staged(src.withColumn(maybe, F.size(maybe) > 0), "candidates")
+        rest = src.filter(~F.col(maybe)).select("*", F.lit(None).cast(spans.schema[where].dataType).alias(where), F.lit(None).cast("long").alias(hits))
+        met = joined(src.filter(maybe), spans, [digest], "left").unionByName(rest)
 
     def cut(w: Column) -> Column:
-        """A word that is hit goes with what parts it from the next."""
-        gaps, spans = w["gaps"], w["spans"]
-        keep = lambda i: F.when(F.exists(spans, lambda m: (i >= m["start"]) & (i < m["end"])), "").otherwise(F.concat(w["words"][i], gaps[i + 1]))
-        return F.array_join(F.concat(F.array(gaps[0]), F.transform(_starts(w["words"], 1), keep)), "")
-
-    hit, text = F.col("_n_hit").isNotNull(), F.col(text_col)
-    parts = F.struct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"), F.split(text, WORD).alias("gaps"), F.col("_spans").alias("spans"))
-    kept = met.filter(~hit | (F.col("_n_hit") <= F.size(words(text)) * most))
-    kept = kept.withColumn(text_col, F.when(hit, let(parts, cut)).otherwise(text))
-    if length_col in docs.columns:
-        kept = kept.withColumn(length_col, F.when(hit, F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
-    return kept.select(docs.columns)
+        """The words between spans, each with what parts it from the next, after what comes first."""
+        words_, gaps, spans_ = w["words"], w["gaps"], w["spans"]
+        begin = lambda k: F.when(k > 0, spans_[k - 1]["end"]).otherwise(0)
+        end = lambda k: F.when(k < F.size(spans_), F.get(spans_, k)["start"]).otherwise(F.size(words_))
+        between = lambda k: F.when(end(k) > begin(k), F.transform(F.sequence(begin(k), end(k) - 1), lambda i: F.concat(words_[i], gaps[i + 1]))).otherwise(F.array().cast("array<string>"))
+        return F.array_join(F.concat(F.array(gaps[0]), F.flatten(F.transform(F.sequence(F.lit(0), F.size(spans_)), between))), "")
+
+    hit = F.col(hits).isNotNull()
+    parts = F.struct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"), F.split(text, WORD).alias("gaps"), F.col(where).alias("spans"))
+    kept = met.filter(~hit | (F.col(hits) <= F.size(words(text)) * most)).withColumn(changed, F.when(hit, let(parts, cut)).otherwise(text))
+    out = {c: F.col(n) for c, n in names.items()} | {text_col: F.col(changed)}
+    if length_col in names and length_col != text_col:
+        out[length_col] = F.when(hit, F.length(changed).cast(docs.schema[length_col].dataType)).otherwise(out[length_col])
+    return kept.select(*[x.alias(c) for c, x in out.items()])

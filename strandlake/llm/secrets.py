@@ -32,7 +32,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import disjoint, let, own_name, running, text_or_empty
+from strandlake.llm.common import disjoint, let, own_name, running, shielded, text_or_empty
 
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_b64")
 #: Letters in either case are spelt out: engines differ in what else ignoring case matches.
@@ -189,9 +189,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def redact(docs: DataFrame, mark: str = MARK, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with every span (overlapping ones as one) replaced by ``mark``; ``length_col`` is set
     anew where text changes. No row goes."""
-    kept = {c: own_name("c") for c in docs.columns}
+    rows, kept = shielded(docs)
     base, every, spans, whole, text = *[own_name(x) for x in ("base", "all", "spans", "whole")], F.col(kept[text_col])
-    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in kept.items()], text_or_empty(text_col).alias(whole))
+    rows = rows.withColumn(whole, text_or_empty(text))
     rows = disjoint(found(rows, whole, base, every), every, spans)
 
     def cut(part: Column, k: Column, own: Column) -> Column:

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.llm import decontaminate, langid, licenses, media, neardup, packing, secrets, sharding, substrings, toxicity
 
@@ -105,9 +106,24 @@ def test_redaction_of_overlapping_and_touching_spans(spark):
         assert got[i] == want, (t, got[i], want)
 
 
-@pytest.mark.parametrize("inline", [100_000, 0])
-def test_decontamination_with_either_hash_set(docs, bench, inline):
-    same(decontaminate.scan(docs, bench, inline_keys=inline).collect(), brute.contamination(DOCS, ITEMS))
+@pytest.mark.parametrize(("keys", "most"), [(500_000, 1 << 25), (500_000, 0), (5, 1 << 25), (5, 0)])
+def test_decontamination_with_one_table_or_several(docs, bench, keys, most):
+    same(decontaminate.scan(docs, bench, keys_per_pass=keys, most_bytes=most).collect(), brute.contamination(DOCS, ITEMS))
+    whole = decontaminate.clean(docs, bench, most=0.9)
+    same(decontaminate.clean(docs, bench, most=0.9, keys_per_pass=keys, most_bytes=most).collect(), [tuple(r) for r in whole.collect()])
+
+
+def test_a_large_benchmark_moves_less_than_the_text(spark, tmp_path):
+    rng = random.Random(12)
+    name = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    items = [(i, " ".join(name() for _ in range(60))) for i in range(600)]
+    own = [(i, prose(60) + " " + (" ".join(items[i][1].split()[:15]) if i % 50 == 0 else "") + " " + prose(60)) for i in range(500)]
+    docs, many = spark.createDataFrame(own, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    same(decontaminate.scan(docs, many, keys_per_pass=20_000).collect(), brute.contamination(own, items))
+    found = decontaminate.windows(many).persist()
+    tables = decontaminate._tables(found, 20_000)
+    none = docs.filter("doc_id % 50 != 0").select(F.explode(decontaminate.let(decontaminate.words(F.col("text")), lambda w: F.concat(*[decontaminate._candidates(w, [10], t) for t in tables]))))
+    assert len(tables) == 2 and none.count() <= 0.005 * 500 * 111
 
 
 def test_cleaning_cuts_hits_only(docs, bench, empty):
