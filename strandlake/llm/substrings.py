@@ -6,20 +6,22 @@ either side (the first of equals), moved on to the next character. Cuts follow f
 them alone: an insertion moves the chunks behind it but doesn't change them, and a repeated passage
 has the same cuts but for ``WINDOW + REACH`` bytes at its start and ``REACH`` at its end.
 
-Chunks are told apart by a 128-bit digest. Those that occur twice or more, in one document or
+Chunks are told apart by a 128-bit BLAKE2 digest of their bytes. Those that occur twice or more, in one document or
 several, are gathered, neighbouring ones joined to runs, and runs of ``LEAST`` bytes or more reported, in
 pieces by the document that has their chunks first: a chunk always stays at its first place. Digests are counted
-by partial aggregation and joined back by shuffle, so neither a chunk that a third of all rows
-share nor its list of places ever meets in one task.
+by partial aggregation. Joined back, chunks that very many places share aren't dealt by digest
+but meet a broadcast of the few such digests (``common.joined``), so neither they nor their list of places meet in one task.
 
 Defined cases: null and empty texts have no chunk; equal texts repeat each other whole (if they have
 ``LEAST`` bytes); repeats within one document count as others do, but text of a period of ``REACH``
-bytes or less has no cuts; an empty table gives no rows; extra columns are left out of ``repeats`` and kept by ``cut``.
+bytes or less has no cuts; an empty table gives no rows; extra columns are left out of ``repeats`` and kept by ``cut``,
+whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +29,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm import bytewords as B
-from strandlake.llm.common import staged
+from strandlake.llm.common import joined, own_name, shielded, staged
 
 WINDOW, REACH, LEAST = 16, 20, 100
 GEAR = (B.mix(np.arange(1001, 1257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
-_U = np.uint64
-_BASE2 = 0xD1342543DE82EF93
 CHUNKS = "doc_id long, starts array<int>, ends array<int>, h1 array<long>, h2 array<long>, news array<boolean>"
 
 
@@ -70,43 +70,17 @@ def cuts(data: np.ndarray) -> np.ndarray:
     return np.unique(at[at < len(data)])
 
 
-_second: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers2(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the second base and of its inverse."""
-    have = _second.get(0)
-    if have is None or len(have[0]) < n:
-        made = []
-        for base in (_BASE2, pow(_BASE2, -1, 1 << 64)):
-            p = np.full(max(n, 1 << 17), _U(base))
-            p[0] = 1
-            made.append(np.cumprod(p))
-        have = (made[0], made[1])
-        if n <= 1 << 20:
-            _second[0] = have
-    return have
-
-
-def _sums(data: np.ndarray, p: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(B.VALUES[data] * p[: len(data)], out=out[1:])
-    return out
-
-
 def chunks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, two 64-bit hashes) of a text's chunks."""
+    """(start, end, both halves of the digest) of a text's chunks."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, z, z
     ends = np.append(cuts(data), len(data))
     starts = np.concatenate([[0], ends[:-1]])
-    size = (ends - starts).astype(np.uint64)
-    hashes = []
-    for (p, inverse), salt in ((B.powers(len(data)), _U(0)), (_powers2(len(data)), _U(1 << 40))):
-        sums = _sums(data, p)
-        hashes.append(B.mix((sums[ends] - sums[starts]) * inverse[starts] + size + salt).view(np.int64))
-    return starts, ends, *hashes
+    raw = data.tobytes()
+    digests = b"".join([blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    halves = np.frombuffer(digests, np.int64).reshape(-1, 2)
+    return starts, ends, halves[:, 0], halves[:, 1]
 
 
 def _news(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -139,9 +113,9 @@ def runs(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     is_first), and (mid, doc_id)."""
     base = staged(chunked(docs).withColumn("mid", F.monotonically_increasing_id()), "chunks")
     rows = base.select("mid", F.posexplode(F.arrays_zip("starts", "ends", "h1", "h2", "news")).alias("k", "c")).select("mid", "k", "c.*")
-    again = rows.groupBy("h1", "h2").agg(F.min("mid").alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first")
+    again = staged(rows.groupBy("h1", "h2").agg(F.min("mid").alias("first"), F.count("*").alias("n")).filter("n > 1"), "repeated")
     own = (F.col("first") == F.col("mid")) & F.col("news")
-    met = rows.join(staged(again, "repeated"), ["h1", "h2"]).select("mid", "k", "starts", "ends", "first", own.alias("own"))
+    met = joined(rows, again.drop("n"), ["h1", "h2"], sizes=again).select("mid", "k", "starts", "ends", "first", own.alias("own"))
     return staged(_pieces(met, least), "runs"), base.select("mid", "doc_id")
 
 
@@ -169,14 +143,17 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, start, end (bytes of the text's UTF-8, end exclusive), first_doc_id, is_first of every
     repeated run's pieces; ``is_first`` marks the first place of all."""
     found, ids = runs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), least)
-    named = found.join(ids, "mid").join(ids.select(F.col("mid").alias("first"), F.col("doc_id").alias("first_doc_id")), "first")
+    firsts = ids.select(F.col("mid").alias("first"), F.col("doc_id").alias("first_doc_id"))
+    named = joined(staged(joined(found, ids, ["mid"]), "named"), firsts, ["first"])
     return named.select("doc_id", "start", "end", "first_doc_id", "is_first")
 
 
 def cut(docs: DataFrame, least: int = LEAST, text_col: str = "text") -> DataFrame:
     """``docs`` without repeated runs at all but their first places; ids must be unique."""
+    own, names = shielded(docs)
+    key, where = own_name("id"), own_name("spans")
     spans = repeats(docs.select("doc_id", F.col(text_col).alias("text")), least).filter("not is_first")
-    spans = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    spans = spans.groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(where))
 
     @F.pandas_udf("string")
     def without(texts, spans):
@@ -193,4 +170,5 @@ def cut(docs: DataFrame, least: int = LEAST, text_col: str = "text") -> DataFram
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    return docs.join(spans, "doc_id", "left").withColumn(text_col, without(text_col, "_spans")).select(docs.columns)
+    met = own.join(spans, F.col(names["doc_id"]).cast("long") == F.col(key), "left")
+    return met.select(*[(without(n, where) if c == text_col else F.col(n)).alias(c) for c, n in names.items()])

@@ -233,6 +233,50 @@ def test_passages_that_one_document_repeats_stay_once(spark):
     assert left[1].count(inner[100:-100]) == left[2].count(shared[100:-100]) == 1 and shared[100:-100] not in left[3]
 
 
+def test_every_chunk_stays_once(spark):
+    """Brute force over all chunks: spans, first documents, and what is left after cutting."""
+    rng = random.Random(21)
+    parts = [prose(25) for _ in range(12)]
+    own = [(i, "\n".join(rng.choice(parts) if rng.random() < 0.6 else prose(rng.randint(5, 30)) for _ in range(rng.randint(1, 9)))) for i in range(120)]
+    own += [(200, own[0][1]), (201, own[0][1][:300] + prose(40)), (202, None), (203, "")]
+    df = spark.createDataFrame(own, "doc_id long, text string").coalesce(1)
+    places, of = {}, {}
+    for i, t in own:
+        raw = (t or "").encode()
+        a, z, *_ = substrings.chunks(np.frombuffer(raw, np.uint8))
+        of[i] = [(int(x), int(y), raw[x:y]) for x, y in zip(a, z, strict=True)]
+        for k, (_, _, c) in enumerate(of[i]):
+            places.setdefault(c, []).append((i, k))
+    got = defaultdict(list)
+    for r in substrings.repeats(df).collect():
+        got[r.doc_id].append((r.start, r.end, r.first_doc_id, r.is_first))
+    for i, cs in of.items():
+        again = [len(places[c]) > 1 for _, _, c in cs]
+        k = 0
+        while k < len(cs):
+            j = k
+            while j < len(cs) and again[j] == again[k]:
+                j += 1
+            inside = sorted(x for x in got[i] if x[0] < cs[j - 1][1] and x[1] > cs[k][0])
+            if again[k] and cs[j - 1][1] - cs[k][0] >= substrings.LEAST:
+                assert inside[0][0] == cs[k][0] and inside[-1][1] == cs[j - 1][1] and all(a[1] == b[0] for a, b in zip(inside, inside[1:], strict=False))
+                for a, z, first, is_first in inside:
+                    own_chunks = [(n, c) for n, (x, y, c) in enumerate(cs) if a <= x and y <= z]
+                    if is_first:
+                        assert first == i
+                    else:  # what goes has its first place elsewhere, all in the document that is named
+                        assert {places[c][0][0] for _, c in own_chunks} == {first} and all(places[c][0] != (i, n) for n, c in own_chunks)
+            else:
+                assert not inside
+            k = j
+    left = Counter()
+    for r in substrings.cut(df.withColumn("_spans", F.lit(1)).withColumn("start", F.lit(2))).collect():
+        raw = (r.text or "").encode()
+        for c, at in places.items():
+            left[c] += raw.count(c) if len(c) > 24 and len(at) > 1 else 0
+    assert all(left[c] >= 1 for c, at in places.items() if len(c) > 24 and len(at) > 1)
+
+
 def test_chunks_resist_insertions():
     a = LONG.encode()
     b = b"inserted words " + a[:9000] + b" and more " + a[9000:]
