@@ -161,6 +161,28 @@ def test_near_duplicates(docs, empty):
     assert neardup.classes(empty).count() == 0 and neardup.distinct(empty).count() == 0
 
 
+def test_every_table_is_joined_alike_beyond_broadcasts(docs, monkeypatch):
+    want = {(r.doc_id, r.class_id, r.keep) for r in neardup.classes(docs).collect()}
+    kept = Counter(map(tuple, neardup.distinct(docs).collect()))
+    again = Counter(map(tuple, neardup.distinct(docs, most_keys=0).collect()))
+    assert Counter(x[:2] for x in kept.elements()) == Counter(x[:2] for x in again.elements())
+    from strandlake.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HOT", 0)
+    monkeypatch.setattr(common, "HOT", 8)
+    assert {(r.doc_id, r.class_id, r.keep) for r in neardup.classes(docs).collect()} == want
+    assert len(substrings.repeats(docs).collect()) > 5
+
+
+def test_joined_is_a_join(spark, monkeypatch):
+    from strandlake.llm import common
+
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 1, i) for i in range(900)], "k int, v int")
+    side = spark.createDataFrame([(k, f"n{k}") for k in range(5)], "k int, name string")
+    for how in ("inner", "left"):
+        assert sorted(map(tuple, common.joined(rows, side, ["k"], how).collect()), key=str) == sorted(map(tuple, rows.join(side, "k", how).collect()), key=str)
+
+
 @pytest.mark.parametrize("medoids", [True, False])
 def test_groups_around_the_limit_lose_no_link(spark, monkeypatch, medoids):
     if not medoids:  # partners are looked for even if no medoid meets another component
