@@ -13,8 +13,8 @@ digits to ``0`` and other ASCII to a space; ``ORDER`` spaces stand before a text
 
 The model is fitted on a bounded sample: of the documents that may be learnt from (crc32 of the id
 modulo 4 is not 2, language and text not null) ``per_lang`` of each language, the first by a hash of
-the id, each with at most ``max_bytes`` of text read. Prediction reads every whole text once, in
-slices, without a shuffle.
+the id. Their whole texts are counted where they lie; the driver gets the counts of the distinct
+byte strings of ``ORDER`` + 1, no text. Prediction reads every whole text once, in slices, without a shuffle.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, as are all texts if there
 is nothing to learn from; equal lengths give the first language by name; repeated rows each get
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from strandlake.llm import bytewords as B
 
-ORDER, PER_LANG, MAX_BYTES, MOST_DOCS = 4, 200, 8000, 50_000
+ORDER, PER_LANG, MOST_DOCS, PART = 4, 200, 50_000, 1 << 22
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, bits double, bits_next double"
 LETTER = re.compile(r"[^\W\d_]")
 _U = np.uint64
@@ -103,19 +103,48 @@ def _grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarra
     return key, offsets[1:]
 
 
+def _parts(data: np.ndarray, offsets: np.ndarray, most: int, order: int) -> Iterator[tuple]:
+    """(first text, text after the last, their offsets, first byte, byte after the last, grams): texts of ``most``
+    bytes together, a longer one by itself in parts of ``PART`` bytes."""
+    for i, j in B.slices(offsets, most):
+        own, part = offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]]
+        for lo in range(0, len(part), PART):
+            hi = min(len(part), lo + PART)
+            if hi - lo == len(part):
+                grams, _ = _grams(part, own, order)
+            else:
+                back = min(lo, order)
+                grams = _grams(part[lo - back : hi], np.array([0, hi - lo + back]), order)[0][back:]
+            yield i, j, own, lo, hi, grams
+
+
+def counts(texts: pa.Array, langs: np.ndarray, order: int = ORDER) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(language, gram, how often it occurs) of the texts, a part at a time."""
+    data, offsets = B.buffers(texts)
+    for i, j, own, lo, hi, grams in _parts(data, offsets, B.SLICE_BYTES, order):
+        of = np.searchsorted(own, np.arange(lo, hi), "right") - 1 + i
+        for lang in sorted(set(langs[i:j])):
+            yield lang, *np.unique(grams[langs[of] == lang], return_counts=True)
+
+
 class Model:
     """Code lengths (bits, negative) of each node for each language, by order."""
 
-    def __init__(self, langs: list[str], texts: list[pa.Array], order: int = ORDER):
+    def __init__(self, langs: list[str], counted: list[tuple[np.ndarray, np.ndarray]], order: int = ORDER):
+        """``counted``: per language the distinct grams and how often they occur."""
         self.langs, self.order = langs, order
         size = len(langs)
-        grams = [_grams(*B.buffers(t), order)[0] for t in texts]
+
+        def shorter(g: np.ndarray, n: np.ndarray, mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+            keys, of = np.unique(g & mask, return_inverse=True)
+            return keys, np.bincount(of, weights=n, minlength=len(keys))
+
         self.syms: list[Table | None] = [None] * (order + 1)
         self.ctxs: list[Table | None] = [None] * (order + 1)
         self.base = np.full((256, size), -8.0)
         for k in range(order + 1):
             mask = _U((1 << 8 * (k + 1)) - 1)
-            seen = [np.unique(g & mask, return_counts=True) for g in grams]
+            seen = [shorter(g, n, mask) for g, n in counted]
             keys = np.unique(np.concatenate([s[0] for s in seen]) if seen else np.zeros(0, np.uint64))
             ctx = np.unique(keys >> _U(8))
             esc = np.zeros((len(ctx), size))
@@ -131,8 +160,8 @@ class Model:
                 value[keys.astype(np.int64)] = np.where(np.isnan(own), value[keys.astype(np.int64)], own)
                 self.base = value
                 continue
-            shorter = self.lengths(keys & _U((1 << 8 * k) - 1), k - 1)
-            value = np.where(np.isnan(own), esc[np.searchsorted(ctx, keys >> _U(8))] + shorter, own)
+            after = self.lengths(keys & _U((1 << 8 * k) - 1), k - 1)
+            value = np.where(np.isnan(own), esc[np.searchsorted(ctx, keys >> _U(8))] + after, own)
             self.syms[k], self.ctxs[k] = Table(keys, value.astype(np.float32)), Table(ctx, esc.astype(np.float32))
 
     def lengths(self, grams: np.ndarray, order: int | None = None) -> np.ndarray:
@@ -159,21 +188,10 @@ class Model:
         data, offsets = B.buffers(texts)
         n, size = len(offsets) - 1, len(self.langs)
         bits = np.zeros((n, size))
-        for i, j in B.slices(offsets, max(1 << 16, (1 << 21) // max(size, 4))):
-            own = offsets[i : j + 1] - offsets[i]
-            part = data[offsets[i] : offsets[j]]
-            if not len(part) or not size:
-                continue
-            for lo in range(0, max(1, len(part)), 1 << 22):  # one text may be very long
-                hi = min(len(part), lo + (1 << 22))
-                if hi - lo == len(part):
-                    grams, _ = _grams(part, own, self.order)
-                else:
-                    back = min(lo, self.order)
-                    grams = _grams(part[lo - back : hi], np.array([0, hi - lo + back]), self.order)[0][back:]
-                total = np.concatenate([np.zeros((1, size)), np.cumsum(self.lengths(grams), axis=0)])
-                at = np.clip(own, lo, hi) - lo
-                bits[i:j] -= total[at[1:]] - total[at[:-1]]
+        for i, j, own, lo, hi, grams in _parts(data, offsets, max(1 << 16, (1 << 21) // max(size, 4)), self.order) if size else ():
+            total = np.concatenate([np.zeros((1, size)), np.cumsum(self.lengths(grams), axis=0)])
+            at = np.clip(own, lo, hi) - lo
+            bits[i:j] -= total[at[1:]] - total[at[:-1]]
         letters = np.array([LETTER.search(t.as_py() or "") is not None for t in texts], bool) if n else np.zeros(0, bool)
         if not size:
             return {"lang": np.full(n, -1), "score": np.zeros(n), "bits": np.zeros(n), "bits_next": np.zeros(n)}
@@ -188,7 +206,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG, max_bytes: int = MAX_BYTES, order: int = ORDER) -> Model:
+def train(docs: DataFrame, per_lang: int = PER_LANG, order: int = ORDER) -> Model:
     may = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
     sizes = {r["lang"]: r["n"] for r in may.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     per_lang = max(1, min(per_lang, MOST_DOCS // max(1, len(sizes))))
@@ -199,12 +217,17 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, max_bytes: int = MAX_BYTES,
         near = near | ((F.col("lang") == lang) & (rank < int(min(1.0, 4 * (per_lang + 25) / size) * (1 << 30))))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(rank, "doc_id"))
     ids = may.filter(near).select("lang", "doc_id").distinct().withColumn("_n", first).filter(F.col("_n") <= per_lang).drop("_n")
-    # a text that is cut within a character is only learnt from a little short
-    own = may.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min(F.substring("text", 1, max_bytes)).alias("text"))
-    got = own.orderBy("lang", "doc_id").toArrow()
-    langs = sorted(set(got.column("lang").to_pylist()))
+    own = may.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, grams, n in counts(batch.column("text"), batch.column("lang").to_numpy(zero_copy_only=False), order):
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(grams.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+
+    got = own.select("lang", "text").mapInArrow(B.released(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     by = got.column("lang").to_numpy(zero_copy_only=False) if len(got) else np.zeros(0, object)
-    return Model(langs, [got.column("text").filter(pa.array(by == x)).combine_chunks() for x in langs], order)
+    langs, grams, n = sorted(set(by)), got.column("gram").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    return Model(langs, [(grams[by == x], n[by == x]) for x in langs], order)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

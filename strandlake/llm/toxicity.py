@@ -6,8 +6,9 @@ those through P; what the sentences then score on their own locates the offendin
 are the sentence's words and the words' first bytes (``PREFIXES``), as sets.
 
 The model is fitted on a bounded sample of labelled documents: ``max_docs`` of those allowed for
-learning (crc32 of the id modulo 5 is not 0), the first by a hash of the id, each with at most
-``max_bytes`` of text. It is a few thousand numbers. Scoring reads every whole text once, in
+learning (crc32 of the id modulo 5 is not 0), the first by a hash of the id, with their whole texts. These are
+read where they lie: the driver gets the features that go with label 1, and for each document the
+sentences that have any of them, but no text. The model is a few thousand numbers. Scoring reads every whole text once, in
 slices, without a shuffle.
 
 Defined cases: a null or empty text has no sentence and scores 0; repeated rows each get their
@@ -27,10 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm import bytewords as B
+from strandlake.llm.common import staged
 
-MAX_DOCS, MAX_BYTES = 6000, 100_000
+MAX_DOCS, MIN_DOCS, LEAST_Z = 6000, 4, 3.0
 PREFIXES = (4, 5)
-SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_sentences long, n_offending long, worst_start long, worst_end long, worst_score double"
+SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_sentences long, n_offending long, worst_start long, worst_end long, worst_score double, offending array<struct<start:long,end:long,score:double>>"
 
 
 @dataclass
@@ -52,6 +54,10 @@ class Model:
         return at[ok], k[ok]
 
 
+#: Where labels don't differ there is nothing to learn: no sentence is toxic.
+NONE = Model(np.zeros(1, np.uint64), np.zeros(1), -60.0)
+
+
 def softplus(z):
     return np.logaddexp(0.0, z)
 
@@ -75,53 +81,73 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(hs), np.concatenate(ofs), sent
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, min_docs: int = 4, least_z: float = 3.0, steps: int = 250, l1: float = 1e-4, rate: float = 0.15) -> Model:
-    """Noisy-or likelihood of the document labels, by proximal Adam over features that go with label 1."""
-    none = Model(np.zeros(1, np.uint64), np.zeros(1), -60.0)
+def _slices(texts: pa.Array, of: Model | None = None) -> Iterator[tuple]:
+    """(feature, sentence, sentences' texts, first text, text after the last) of a slice of the texts at a
+    time; of the features of ``of`` only, by their place in it, if it is given."""
+    data, offsets = B.buffers(texts)
+    for i, j in B.slices(offsets):
+        own = offsets[i : j + 1] - offsets[i]
+        h, sent, starts = features(data[offsets[i] : offsets[j]], own)
+        if of is not None:
+            at, h = of.known(h)
+            sent = sent[at]
+        yield h, sent, np.searchsorted(own, starts, "right") - 1 + i, i, j
+
+
+def occurrences(texts: pa.Array, toxic: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(feature, documents that have it, toxic ones of these), a slice at a time."""
+    for h, sent, doc, _, _ in _slices(texts):
+        names, f = np.unique(h, return_inverse=True)
+        pair = np.unique(doc[sent].astype(np.int64) * max(1, len(names)) + f)
+        f, y = pair % max(1, len(names)), toxic[pair // max(1, len(names))]
+        yield names, np.bincount(f, minlength=len(names)), np.bincount(f, weights=y, minlength=len(names)).astype(np.int64)
+
+
+def sentences(texts: pa.Array, kept: Model) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per text: how many sentences it has, and the (sentence, feature) pairs of the kept features."""
+    for f, sent, doc, i, j in _slices(texts, kept):
+        size = np.bincount(doc - i, minlength=j - i)
+        first = np.concatenate([[0], np.cumsum(size)])
+        pair = np.unique(sent.astype(np.int64) * len(kept.features) + f)
+        sent, f = pair // len(kept.features), pair % len(kept.features)
+        cut = np.searchsorted(sent, first)
+        for k in range(j - i):
+            yield int(size[k]), (sent[cut[k] : cut[k + 1]] - first[k]).astype(np.int32), f[cut[k] : cut[k + 1]].astype(np.int32)
+
+
+def _kept(h: np.ndarray, df: np.ndarray, dp: np.ndarray, share: float) -> np.ndarray:
+    """Features that go with label 1; if there are none, the first that a toxic document has."""
+    z = (dp - df * share) / np.sqrt(df * share * (1 - share) + 1e-9)
+    keep = (df >= MIN_DOCS) & (z >= LEAST_Z)
+    return np.sort(h[keep]) if keep.any() else np.sort(h[dp > 0])[:1]
+
+
+def fit(texts: pa.Array, toxic: np.ndarray) -> Model:
+    """The model of texts and labels that are at hand: what ``train`` does where texts lie."""
     y = toxic.astype(bool)
     if not y.any() or y.all():
-        return none
-    data, offsets = B.buffers(texts)
+        return NONE
+    parts = list(occurrences(texts, y.astype(np.int64)))
+    h, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    df, dp = (np.bincount(of, weights=np.concatenate([p[k] for p in parts]), minlength=len(h)) for k in (1, 2))
+    kept = Model(names := _kept(h, df, dp, y.mean()), np.zeros(len(names)), 0.0)
+    return solved(kept, y, list(sentences(texts, kept)))
 
-    def parts(of=None):
-        """(feature, sentence, document) a slice, of the features ``of`` by their place in it; sentences'
-        documents. One slice is held at a time."""
-        for i, j in B.slices(offsets):
-            own = offsets[i : j + 1] - offsets[i]
-            h, sent, starts = features(data[offsets[i] : offsets[j]], own)
-            doc = np.searchsorted(own, starts, "right") - 1 + i
-            if of is not None:
-                at, h = of.known(h)
-                sent = sent[at]
-            yield h, sent, doc
-
-    # only features of toxic documents can go with label 1
-    names = np.unique(np.concatenate([np.unique(h[y[doc[sent]]]) for h, sent, doc in parts()]))
-    seen = Model(names, np.zeros(len(names)), 0.0)
-    df, dp, n_sent = np.zeros(len(names)), np.zeros(len(names)), 0
-    for f, sent, doc in parts(seen):
-        pair = np.unique(doc[sent].astype(np.int64) * len(names) + f)
-        df += np.bincount(pair % len(names), minlength=len(names))
-        dp += np.bincount(pair % len(names), weights=y[pair // len(names)], minlength=len(names))
-        n_sent += len(doc)
-    share = y.mean()
-    z = (dp - df * share) / np.sqrt(df * share * (1 - share) + 1e-9)
-    keep = np.flatnonzero((df >= min_docs) & (z >= least_z))
+
+def solved(kept: Model, y: np.ndarray, docs: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 250, l1: float = 1e-4, rate: float = 0.15) -> Model:
+    """Noisy-or likelihood of the document labels ``y`` by proximal Adam. ``docs``: as ``sentences`` gives."""
+    keep = kept.features
     if not len(keep):
-        keep = np.flatnonzero(df >= 1)[:1]
-    kept = Model(names[keep], np.zeros(len(keep)), 0.0)
-    pairs, docs, before = [], [], 0
-    for f, sent, doc in parts(kept):
-        pairs.append(np.unique((sent + before).astype(np.int64) * len(keep) + f))
-        docs.append(doc)
-        before += len(doc)
-    own, doc = np.concatenate(pairs), np.concatenate(docs)
-    sent, f = own // len(keep), own % len(keep)
+        return NONE
+    n_sent = np.array([d[0] for d in docs])
+    doc = np.repeat(np.arange(len(docs)), [len(d[1]) for d in docs])
+    sent = np.concatenate([d[1] for d in docs]) + np.concatenate([[0], np.cumsum(n_sent)])[doc]
+    f = np.concatenate([d[2] for d in docs])
     # sentences without a kept feature are alike: only their number in a document matters
-    used, sent = np.unique(sent, return_inverse=True)
-    plain = np.bincount(doc, minlength=len(y)) - np.bincount(doc[used], minlength=len(y))
-    doc = doc[used]
-    w, b = np.full(len(keep), 0.1), float(np.log(share / max(1.0, n_sent / len(y))))
+    used, at, sent = np.unique(sent, return_index=True, return_inverse=True)
+    doc = doc[at]
+    plain = n_sent - np.bincount(doc, minlength=len(y))
+    w, b = np.full(len(keep), 0.1), float(np.log(y.mean() / max(1.0, n_sent.mean())))
     m, v = np.zeros(len(keep) + 1), np.zeros(len(keep) + 1)
     for t in range(1, steps + 1):
         zs = b + np.bincount(sent, weights=w[f], minlength=len(used))
@@ -137,15 +163,17 @@ def fit(texts: pa.Array, toxic: np.ndarray, min_docs: int = 4, least_z: float =
     on = w != 0
     if not on.any():
         return Model(np.zeros(1, np.uint64), np.zeros(1), b)
-    order = np.argsort(names[keep][on])
-    return Model(names[keep][on][order], w[on][order], b)
+    order = np.argsort(keep[on])
+    return Model(keep[on][order], w[on][order], b)
 
 
 def score_texts(model: Model, texts: pa.Array) -> dict[str, np.ndarray]:
-    """Per text: score, number of sentences, of offending ones (p >= 0.5), and the worst sentence."""
+    """Per text: score, number of sentences, of offending ones (p >= 0.5), the worst sentence, and the places of
+    all offending ones (code points)."""
     data, offsets = B.buffers(texts)
     n = len(offsets) - 1
     out = {"score": np.zeros(n), "n_sentences": np.zeros(n, np.int64), "n_offending": np.zeros(n, np.int64), "worst_start": np.zeros(n, np.int64), "worst_end": np.zeros(n, np.int64), "worst_score": np.zeros(n)}
+    spans = []
     for i, j in B.slices(offsets):
         part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         if not len(part):
@@ -169,6 +197,11 @@ def score_texts(model: Model, texts: pa.Array) -> dict[str, np.ndarray]:
         out["worst_start"][i + docs] = chars[starts[worst]] - base
         out["worst_end"][i + docs] = chars[ends[worst]] - base
         out["worst_score"][i + docs] = 1 / (1 + np.exp(-zs[worst]))
+        bad = np.flatnonzero(zs >= 0)
+        spans.append((chars[starts[bad]] - chars[own[:-1][doc[bad]]], chars[ends[bad]] - chars[own[:-1][doc[bad]]], 1 / (1 + np.exp(-zs[bad]))))
+    parts = [pa.array(np.concatenate([s[k] for s in spans]) if spans else np.zeros(0, np.int64 if k < 2 else float)) for k in range(3)]
+    at = np.concatenate([[0], np.cumsum(out["n_offending"])]).astype(np.int32)
+    out["offending"] = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays(parts, ["start", "end", "score"]))
     return out
 
 
@@ -176,27 +209,56 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """text, toxic of at most ``max_docs`` labelled documents that may be learnt from."""
     order = F.xxhash64(F.col("doc_id"), F.lit(3))
     ids = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     ids = ids.orderBy(order, "doc_id").limit(max_docs)
-    own = docs.select("doc_id", "text").filter(F.octet_length("text") <= max_bytes).join(F.broadcast(ids), "doc_id")
-    return own.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").select("text", "toxic")
+    own = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return own.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
+
 
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:
+    own = staged(sample(docs, labels, max_docs), "labelled")
+    n, pos = own.agg(F.count("*"), F.sum("toxic")).first()
+    if not pos or pos == n:
+        return NONE
+
+    def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, df, dp in occurrences(batch.column("text"), batch.column("toxic").to_numpy().astype(np.int64)):
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(df), pa.array(dp)], names=["h", "df", "dp"])
+
+    seen = own.mapInArrow(B.released(occur), "h long, df long, dp long").groupBy("h").agg(F.sum("df").alias("df"), F.sum("dp").alias("dp"))
+    seen = staged(seen.filter(F.col("dp") > 0), "features")
+    share = pos / n
+    # what may be kept, as ``_kept`` decides; of the others one is enough
+    may = seen.filter((F.col("df") >= MIN_DOCS) & (F.col("dp") - F.col("df") * share >= LEAST_Z * F.sqrt(F.col("df") * share * (1 - share)) - 1e-6)).toArrow()
+    if not len(may):
+        may = seen.orderBy(F.expr("h < 0"), "h").limit(1).toArrow()  # hashes are unsigned
+    h, df, dp = may.column("h").to_numpy().view(np.uint64), may.column("df").to_numpy(), may.column("dp").to_numpy()
+    kept = Model(names := _kept(h, df, dp, share), np.zeros(len(names)), 0.0)
+
+    def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(sentences(batch.column("text"), kept))
+            cols = [batch.column("toxic"), pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[k].tolist() for r in rows], pa.list_(pa.int32())) for k in (1, 2)]]
+            yield pa.RecordBatch.from_arrays(cols, names=["toxic", "n", "s", "f"])
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> Model:
-    got = sample(docs, labels, max_docs, max_bytes).toArrow()
-    return fit(got.column("text"), np.asarray(got.column("toxic").to_pylist(), dtype=np.int64))
+    # in one order whatever the partitions, so that sums are the same each time
+    got = own.mapInArrow(B.released(located), "toxic int, n long, s array<int>, f array<int>").orderBy("toxic", "n", "s", "f").toArrow()
+    ints = lambda c, k: np.array(got.column(c)[k].as_py() or [], np.int64)
+    parts = [(got.column("n")[k].as_py(), ints("s", k), ints("f", k)) for k in range(len(got))]
+    return solved(kept, got.column("toxic").to_numpy().astype(bool), parts)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted and where the worst sentence is, for every row."""
+    """doc_id, held_out, score, predicted and where the worst and all offending sentences are, for every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = score_texts(model, batch.column("text"))
             names = ["doc_id", "held_out", "score", "predicted", *list(got)[1:]]
-            cols = [batch.column("doc_id"), batch.column("held_out"), pa.array(got["score"]), pa.array((got["score"] >= 0.5).astype(np.int32)), *[pa.array(got[k]) for k in list(got)[1:]]]
+            cols = [batch.column("doc_id"), batch.column("held_out"), pa.array(got["score"]), pa.array((got["score"] >= 0.5).astype(np.int32)), *[got[k] if k == "offending" else pa.array(got[k]) for k in list(got)[1:]]]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
