@@ -191,7 +191,7 @@ def _medoids(sig: np.ndarray, root: np.ndarray, meet) -> Iterator[tuple[int, int
 
 def _partners(most: int):
     """The ``most`` best partners in every other component of each member, but those of the largest
-    component: they are others' partners. A pair (-1, -1) says that there are more."""
+    component: they are others' partners. A pair (-1, -1) says that the block has more."""
     def pick(sig: np.ndarray, root: np.ndarray, meet) -> Iterator[tuple[int, int]]:
         names, n = np.unique(root, return_counts=True)
         for k in np.flatnonzero(root != names[n.argmax()]):
@@ -208,7 +208,8 @@ def _partners(most: int):
 
 
 def _across(members: DataFrame, held: DataFrame, roots: DataFrame, pick) -> DataFrame:
-    """Pairs to verify between components that share buckets, as ``pick`` chooses them in each block.
+    """Pairs to verify between components that share buckets, as ``pick`` chooses them in each block; and
+    (-1, band) of each bucket that has more.
 
     A pair is only looked at in the first band that it shares, so no pair comes twice."""
     marked = members.join(roots, "node", "left").select("b", "band", "node", F.coalesce("root", "node").alias("root"))
@@ -233,7 +234,7 @@ def _across(members: DataFrame, held: DataFrame, roots: DataFrame, pick) -> Data
                 at = at[~equal[at, : b * ROWS].reshape(len(at), b, ROWS).all(axis=2).any(axis=1)]
             return at, near[at]
 
-        out = sorted({(min(node[k], node[a]), max(node[k], node[a])) if k >= 0 else (-1, -1) for k, a in pick(sig, root, meet)})
+        out = sorted({(min(node[k], node[a]), max(node[k], node[a])) if k >= 0 else (-1, cols["band"][0]) for k, a in pick(sig, root, meet)})
         return [u for u, _ in out], [v for _, v in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,16 +288,20 @@ def grouped(docs: DataFrame, limit: float = LIMIT, most_keys: int = MOST_KEYS) -
     if not tried.isEmpty():
         links = staged(links.unionByName(verified(tried, held, limit)), "links")
         roots = components(links)
-    most, more = 1, True
-    while more:  # until no candidate between components is left: more partners a round, none verified twice
-        found = staged(_across(members, held, roots, _partners(most)), "across")
-        more = not found.filter("u < 0").isEmpty()
+    most, left = 1, members
+    while True:  # until no candidate between components is left: more partners a round, none verified twice
+        found = staged(_across(left, held, roots, _partners(most)), "across")
         new = staged(found.filter("u >= 0").join(tried, ["u", "v"], "left_anti"), "partners")
         near = staged(verified(new, held, limit), "near")
         if not near.isEmpty():
             links = staged(links.unionByName(near), "links")
             roots = components(links)
         tried, most = tried.unionByName(new), GROWTH * most
+        # a bucket that had no more than these has all its candidates verified
+        more = found.filter("u < 0").select(F.col("v").alias("band"))
+        if more.isEmpty():
+            break
+        left = staged(left.join(more, "band", "left_semi"), "left")
     # classes are put together from digests, so rows are joined once and copies never meet in one task
     rooted = staged(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     sums = staged(rooted.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("class_size"), F.count("*").alias("texts")), "sums")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -409,3 +410,49 @@ def test_licences(docs, empty):
     got = {r.doc_id: r for r in licenses.scan(docs, model).collect()}
     assert got[19].families == "mit" and got[19].n_confirmed == 1 and got[8].families == "" and got[5].n_paragraphs == 1
     assert licenses.scan(empty, model).count() == 0
+
+
+def test_wrapped_notices_are_one_passage(spark):
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met"
+    gpl = " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation"
+    own = [(i, prose(90) + "\n\n" + prose(30)) for i in range(60)]
+    own += [(100, prose(90) + "\n" + bsd + "\n" + prose(80)), (101, gpl + "\n\n" + prose(40)), (102, prose(20) + "\n \n" + bsd + "\n\n\n" + gpl), (103, "\n".join([bsd, prose(300), bsd])), (104, None), (105, prose(3000) + " Released under the MIT License. " + prose(2000))]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in own], "doc_id long, text string, row int, ps string")
+    model = licenses.train(df)
+    got = {r.doc_id: r for r in licenses.scan(df, model).collect()}
+    assert [(got[i].families, got[i].n_licence, got[i].n_confirmed) for i in range(100, 106)] == [("bsd", 1, 1), ("gpl", 1, 1), ("bsd,gpl", 2, 2), ("bsd", 2, 2), ("", 0, 0), ("mit", 1, 1)]
+    assert [got[i].n_paragraphs for i in (100, 101, 102, 103, 104)] == [1, 2, 3, 1, 1] and not any(got[i].n_licence for i in range(60))
+    # brute force: softmax, threshold and confirmation of every window in plain Python
+    pairs = licenses._pairs()
+    known = {*model.names, *[h for hs in pairs.values() for h in hs]}
+    some = df.select(F.col("doc_id").alias("row"), licenses._found(licenses.text_or_empty("text"), sorted(known))["ps"].alias("ps"))
+    scored = {(r.row, r.paragraph, r.window): (r.family, r.chance, r.confirmed) for r in licenses._scored(some.filter(F.size("ps") > 0), model).collect()}
+    want = {}
+    for i, t in own:
+        for p, block in enumerate(re.split(licenses.BLANK, t or "")):
+            w = licenses._words(block)
+            for j in range(max(0, -(-(len(w) - licenses.WIDTH) // licenses.STEP)) + 1):
+                part = w[j * licenses.STEP : j * licenses.STEP + licenses.WIDTH]
+                chances = model.chances(part)
+                if known & set(licenses.features(part)) and chances[-1] < 0.5:
+                    k = chances[:-1].argmax()
+                    held = any(f == licenses.FAMILIES[k] and len(set(hs) & set(licenses.features(part))) >= licenses.CONFIRM * len(hs) for (f, _), hs in pairs.items())
+                    want[i, p, j] = (licenses.FAMILIES[k], chances[k], held) if chances[k] >= model.sure else ("unknown", chances[k], False)
+    assert scored.keys() == want.keys()
+    assert all(scored[k][::2] == want[k][::2] and abs(scored[k][1] - want[k][1]) < 1e-6 for k in want)
+
+
+def test_most_notices_of_families_that_were_never_seen_stay_unnamed(monkeypatch):
+    rng = random.Random(3)
+    windows = [prose(rng.randint(10, 64)).split() for _ in range(300)]
+    every, seen, named, without = dict(licenses.NOTICES), 0, 0, 0
+    for left_out in ("mpl", "cc-by-sa", "public-domain"):
+        monkeypatch.setattr(licenses, "NOTICES", {f: n for f, n in every.items() if f != left_out})
+        monkeypatch.setattr(licenses, "FAMILIES", sorted(licenses.NOTICES))
+        model = licenses.fit(windows)
+        for n in every[left_out]:
+            p = model.chances(licenses._words(n))
+            seen, named, without = seen + 1, named + (p[-1] < 0.5 and p[:-1].max() >= model.sure), without + (p[-1] < 0.5)
+        right = [model.chances(licenses._words(n))[k] >= model.sure for k, f in enumerate(licenses.FAMILIES) for n in licenses.NOTICES[f]]
+        assert sum(right) >= 0.9 * len(right)
+    assert named < 0.5 * seen and named < without
