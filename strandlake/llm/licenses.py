@@ -128,12 +128,18 @@ class _Sparse:
 
 def _solved(rows: list[list[int]], y: np.ndarray, names: list[int], steps: int = 200, rate: float = 0.3, l1: float = 2e-3) -> tuple[np.ndarray, np.ndarray]:
     """Weights and biases of the softmax, by proximal Adam. A class without rows gets no chance."""
-    x, classes = _Sparse(rows, names), len(FAMILIES) + 1
+    alike: dict[tuple, int] = {}  # rows that agree in class and features, as plain ones do, are one
+    known = set(names)
+    for fs, k in zip(rows, y.tolist(), strict=True):
+        own = (k, *[f for f in fs if f in known])
+        alike[own] = alike.get(own, 0) + 1
+    share = np.array(list(alike.values()))[:, None] / len(rows)
+    x, classes = _Sparse([list(r[1:]) for r in alike], names), len(FAMILIES) + 1
     n = len(names)
-    w, b, hot = np.zeros((n, classes)), np.zeros(classes), np.eye(classes)[y]
+    w, b, hot = np.zeros((n, classes)), np.zeros(classes), np.eye(classes)[[r[0] for r in alike]]
     m, v = np.zeros((n + 1, classes)), np.zeros((n + 1, classes))
     for t in range(1, steps + 1):
-        d = (_softmax(x.times(w) + b) - hot) / len(rows)
+        d = (_softmax(x.times(w) + b) - hot) * share
         g = np.vstack([x.turned(d, n), d.sum(axis=0)])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -172,6 +178,8 @@ def fit(windows: list[list[str]]) -> Model:
     y += [len(FAMILIES)] * len(plain)
     order = rng.permutation(len(rows))
     x, y = [features(rows[i]) for i in order], np.array(y)[order]
+    told = {f for fs, k in zip(x, y, strict=True) if k < len(FAMILIES) for f in fs}
+    x = [[f for f in fs if f in told] for fs in x]
     cut = len(x) * 4 // 5
     names = _names(x, y)
     w, b = _solved(x[:cut], y[:cut], names)
@@ -234,10 +242,11 @@ def _found(text: Column, known: list[int]) -> Column:
         n, parts = F.size(w), []
         for k in (2, 3):
             places = F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
-            every = F.transform(places, lambda i: F.struct(F.xxhash64(*[w[i + j] for j in range(k)]).alias("h"), i.alias("i")))  # noqa: B023
+            every = F.transform(places, lambda i: F.xxhash64(*[w[i + j] for j in range(k)]))  # noqa: B023
             first = lambda i: F.greatest(F.ceil((i + k - WIDTH) / STEP), F.lit(0)).cast("int")  # noqa: B023, E731
             last = lambda i: F.least(F.floor(i / STEP).cast("int"), _last(n))
-            parts.append(F.transform(F.filter(every, lambda x: x["h"].isin(known)), lambda x: F.struct(x["h"].alias("h"), first(x["i"]).alias("a"), last(x["i"]).alias("z"))))  # noqa: B023
+            some = lambda hs: F.transform(F.filter(places, lambda i: hs[i].isin(known)), lambda i: F.struct(hs[i].alias("h"), first(i).alias("a"), last(i).alias("z")))  # noqa: B023, E731
+            parts.append(let(every, some))
         return F.array_distinct(F.concat(*parts))
 
     blocks = F.transform(_blocks(text), lambda w, i: F.struct(i.alias("paragraph"), hits(w).alias("f")))
