@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm import bytewords as B
-from strandlake.llm.common import new_path, staged, text_or_empty
+from strandlake.llm.common import joined, new_path, staged, text_or_empty
 
 WIDTH, SHARD_BYTES, MOST_DIGESTS, LEVEL = 576, 128 << 20, 500_000, 6
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -128,11 +128,13 @@ class Ranges:
         return self.file.read_at(length, offset)
 
 
-def stored(rows: DataFrame, ids: DataFrame, folder: str) -> DataFrame:
-    """rows (``doc_id``, ``digest``, ``text``), ids (``doc_id``, ``digest``) of the same rows -> the manifest."""
-    repeated = ids.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner")).filter("n > 1").select("digest", "owner", F.lit(True).alias("again"))
-    if repeated.count() <= MOST_DIGESTS:
-        marked = rows.join(F.broadcast(repeated), "digest", "left")
+def stored(rows: DataFrame, repeated: DataFrame, folder: str, most_digests: int = MOST_DIGESTS) -> DataFrame:
+    """rows (``doc_id``, ``digest``, ``text``) -> the manifest. ``repeated``: digest and owner (the least id) of
+    what more than one row has."""
+    if repeated.count() <= most_digests:
+        # 32 bytes a digest are sent, not 64 characters
+        own = repeated.select(F.unhex("digest").alias("raw"), "owner", F.lit(True).alias("again"))
+        marked = rows.withColumn("raw", F.unhex("digest")).join(F.broadcast(own), "raw", "left")
         own = marked.filter(F.col("again").isNull() | F.col("doc_id").eqNullSafe(F.col("owner")))
     else:
         own = rows.dropDuplicates(["digest"])
@@ -199,9 +201,10 @@ def features(manifest: DataFrame) -> DataFrame:
     return headers(manifest).mapInArrow(B.released(run), f"{MANIFEST}, width int, height int, bit_depth int, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
-def media(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def media(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", most_digests: int = MOST_DIGESTS) -> DataFrame:
     """Every row's payload with its place, metadata and features."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), digest(F.col(text_col)).alias("digest"))
     ids = staged(rows.select("doc_id", "digest"), "digests")
-    manifest = staged(stored(rows, ids, folder or new_path(docs.sparkSession, "shards")), "manifest")
-    return ids.join(features(manifest), "digest", "left")
+    repeated = staged(ids.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner")).filter("n > 1"), "repeated")
+    manifest = staged(stored(rows, repeated, folder or new_path(docs.sparkSession, "shards"), most_digests), "manifest")
+    return joined(ids, staged(features(manifest), "features"), ["digest"], "left", sizes=repeated)

@@ -21,12 +21,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import staged, text_or_empty
+from strandlake.llm.common import let, staged, text_or_empty
 
 SEED = 20_240_601
 ROUNDS = 6
-#: Steps of a cycle that are walked. Fewer than a = ceil(sqrt n) cells lie outside 0..n-1, so 64
-#: steps are certain for n <= 4096, and fail with a chance under (1/64)**64 a row beyond.
+#: Steps of a cycle that are always provided for; the rare rows that need more walk on. Fewer than
+#: a = ceil(sqrt n) cells lie outside 0..n-1, so no cycle takes more steps than that.
 WALK = 64
 
 
@@ -58,9 +58,12 @@ def permuted(x: Column, n: int, seed: int = SEED, rounds: int = ROUNDS) -> Colum
     a, b = _cells(n)
     first = _network(x, a, b, seed, rounds)
     if a * b > n:
-        walk = min(WALK, a * b - n)
-        first = F.aggregate(F.sequence(F.lit(1), F.lit(walk)), first, lambda p, _: F.when(p < n, p).otherwise(_network(p, a, b, seed, rounds)))
-    return F.when(first < n, first).otherwise(F.raise_error(F.lit("the cycle walk did not end")).cast("long"))
+        on = lambda p, _: F.when(p < n, p).otherwise(_network(p, a, b, seed, rounds))
+        walk = lambda start, steps: F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, on)
+        first = walk(first, min(WALK, a * b - n))
+        if a * b - n > WALK:
+            first = let(first, lambda p: F.when(p < n, p).otherwise(walk(p, a * b - n - WALK)))
+    return first
 
 
 def _hash(seed: int, k: int, r: int) -> int:

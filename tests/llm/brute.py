@@ -124,3 +124,47 @@ def near_classes(docs, limit=0.8):
         r = find(k)
         least[r] = min(least.get(r, i), i)
     return {k: least[find(k)] for k in range(len(docs))}
+
+
+def ppm_trees(texts, order=4):
+    """Per context of up to ``order`` bytes: how often each byte followed."""
+    tree = {}
+    for t in texts:
+        raw = b" " * order + fold(t)
+        for i in range(order, len(raw)):
+            for k in range(order + 1):
+                tree.setdefault(raw[i - k : i], Counter())[raw[i]] += 1
+    return tree
+
+
+def fold(text):
+    return bytes(48 if 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").encode())
+
+
+def ppm_bits(tree, text, order=4):
+    raw, bits = b" " * order + fold(text), 0.0
+    for i in range(order, len(raw)):
+        for k in range(order, -1, -1):
+            after = tree.get(raw[i - k : i])
+            if after is None:
+                continue
+            n, d = sum(after.values()), len(after)
+            if raw[i] in after:
+                bits -= log2(after[raw[i]] / (n + d))
+                break
+            bits -= log2(d / (n + d))
+        else:
+            bits += 8
+    return bits
+
+
+def sentences_of(text):
+    """(start, end) in code points: a sentence ends after . ! ? or a line break."""
+    out, at = [], 0
+    for i, c in enumerate(text or ""):
+        if c in ".!?\n":
+            out.append((at, i + 1))
+            at = i + 1
+    if at < len(text or ""):
+        out.append((at, len(text)))
+    return out

@@ -317,6 +317,44 @@ def test_media_round_trip(docs, empty):
     assert len({(r.shard, r.offset) for r in got}) == len(pay) and media.media(empty).count() == 0
 
 
+def test_media_beyond_the_broadcast_and_by_other_readers(docs):
+    import io
+    import tarfile
+
+    got = {r.doc_id: r for r in media.media(docs).collect() if r.doc_id is not None}
+    far = {r.doc_id: r for r in media.media(docs, most_digests=0).collect() if r.doc_id is not None}
+    names = ["digest", "n_bytes", "payload_bytes", "media_bytes", "media_sha256", "feature", "tail_crc32", "length"]
+    assert got.keys() == far.keys() and all(got[i][c] == far[i][c] for i in got for c in names)
+    for i, t in DOCS:
+        if i is None:
+            continue
+        r, p = got[i], media.payload(t)
+        with tarfile.open(r.shard.removeprefix("file:"), "r:") as tar:
+            member = next(m for m in tar.getmembers() if m.name == f"{r.digest}.png")
+            png = tar.extractfile(member).read()
+        assert member.offset_data == r.offset and len(png) == r.length == r.media_bytes and hashlib.sha256(png).hexdigest() == r.media_sha256
+        # the PNG by the format's rules: chunks, then rows that begin with their filter's number
+        at, body, f = 8, b"", io.BytesIO(png)
+        while at < len(png):
+            f.seek(at)
+            n, kind = int.from_bytes(f.read(4)), f.read(4)
+            body, at = body + (f.read(n) if kind == b"IDAT" else b""), at + 12 + n
+        raw = zlib.decompress(body)
+        assert b"".join(raw[k + 1 : k + 577] for k in range(0, len(raw), 577)) == p
+        mean = sum(p) / len(p)
+        spread = (sum((x - mean) ** 2 for x in p) / len(p)) ** 0.5
+        bins = Counter(x >> 4 for x in p)
+        a, b, c = r.feature.split(":")
+        assert abs(int(a) - 100 * mean) < 1.001 and abs(int(b) - 100 * spread) < 1.001 and c == ".".join(str(bins[k] * 1000 // len(p)) for k in range(16))
+
+
+def test_walks_of_any_length_end(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "WALK", 1)
+    n = 901  # 31 x 30 cells: 29 lie outside
+    got = [r[0] for r in spark.range(n).select(sharding.permuted(F.col("id"), n)).collect()]
+    assert got == [sharding.place(x, n, 1)[1] for x in range(n)] and sorted(got) == list(range(n))
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
@@ -387,6 +425,78 @@ def test_toxicity_learns_from_documents_and_finds_sentences(spark, empty):
     assert toxicity.score(empty, toxicity.fit(toxicity.pa.array(["a"]), np.array([0]))).count() == 0
 
 
+def test_toxicity_equals_noisy_or_of_the_weights(spark, docs):
+    """Features, sentences and scores in plain Python, from a given model."""
+    rng = random.Random(5)
+    texts = [". ".join(prose(rng.randint(0, 9)) for _ in range(rng.randint(1, 12))) + rng.choice(["", "!", "\n", " é."]) for _ in range(60)] + [None, "", " ", "...\n\n", "🙂 Grim. grim GRIM! x"]
+    plain = [w for w in WORDS if len(w) > 5]
+    chosen = {w: rng.uniform(-2, 3) for w in plain[:40]} | {("p", 4, w[:4]): rng.uniform(-1, 1) for w in plain[30:60]}
+
+    def hashed(x):
+        data = np.frombuffer((x if isinstance(x, str) else x[2] + "zz").encode(), np.uint8)
+        h, _, _ = toxicity.features(data, np.array([0, len(data)]))
+        return int(h[0] if isinstance(x, str) else h[1])
+
+    by = {hashed(x): w for x, w in chosen.items()}
+    names = np.array(sorted(by), np.uint64)
+    model = toxicity.Model(names, np.array([by[int(h)] for h in names]), -3.0)
+    own = [(i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(own, "doc_id long, text string"), model).collect()}
+    for i, t in own:
+        clean, bad = 1.0, []
+        for a, b in brute.sentences_of(t):
+            ws = set(brute.words(t[a:b]))
+            # prefixes by bytes, of words that are longer
+            fs = ws | {("p", 4, w.encode()[:4].decode(errors="replace")) for w in ws if len(w.encode()) > 4}
+            p = 1 / (1 + np.exp(-(-3.0 + sum(chosen[f] for f in fs if f in chosen))))
+            clean *= 1 - p
+            bad += [(a, b)] * int(p >= 0.5)
+        assert abs(got[i].score - (1 - clean)) < 1e-9 and [(x.start, x.end) for x in got[i].offending] == bad and got[i].n_sentences == len(brute.sentences_of(t))
+
+
+def test_toxicity_fits_alike_where_texts_lie_and_at_hand(spark):
+    rng = random.Random(4)
+    rows = [(i, ". ".join(prose(8) + (" you grotty" if i % 5 == 1 and k == 2 else "") for k in range(5)) + (" " + prose(20_000) if i == 3 else "")) for i in range(300)]
+    docs = spark.createDataFrame([(i, t, -1, "x") for i, t in rows], "doc_id long, text string, toxic int, h string").repartition(3)
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(i % 5 == 1)) for i, _ in rows], "doc_id long, toxic int"))
+    own = [(t, i % 5 == 1) for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    at_hand = toxicity.fit(toxicity.pa.array([t for t, _ in own]), np.array([y for _, y in own], int))
+    assert (model.features == at_hand.features).all() and np.allclose(model.weights, at_hand.weights, atol=1e-6) and abs(model.bias - at_hand.bias) < 1e-6
+
+
+def test_languages_equal_plain_ppm(spark):
+    rng = random.Random(13)
+    alike = {"aa": "abcdeé", "bb": "abcfgh", "cc": "abcdgß"}
+    rows = [(i, (lang := sorted(alike)[i % 3]), " ".join("".join(rng.choice(alike[lang]) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 40)))) for i in range(90)]
+    rows += [(200, None, prose(30)), (201, "aa", None), (202, "bb", "12 ab"), (203, None, LONG)]
+    docs = spark.createDataFrame([(i, x, t, 1, "y") for i, x, t in rows], "doc_id long, lang string, text string, gram int, n string").repartition(3)
+    got = {r.doc_id: r for r in langid.predict(docs, langid.train(docs)).collect()}
+    trees = {x: brute.ppm_trees([t for i, y, t in rows if y == x and t is not None and zlib.crc32(str(i).encode()) % 4 != 2]) for x in alike}
+    for i, _, t in rows:
+        if t is None:
+            assert got[i].lang_pred == "und" and got[i].score == 0
+            continue
+        bits = {x: brute.ppm_bits(trees[x], t) for x in trees}
+        best = min(sorted(bits), key=lambda x: round(bits[x], 3))
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and abs(got[i].bits - bits[best]) < 1e-4 * bits[best] + 1e-3
+        if abs(sorted(bits.values())[1] - bits[best]) > 0.1:
+            assert got[i].lang_pred == best and abs(got[i].score - 1 / sum(2.0 ** min(1000, bits[best] - b) for b in bits.values())) < 1e-3
+
+
+def test_hostile_column_names_pass_the_pipeline(spark):
+    from strandlake.llm.common import staged
+
+    names = "_all _spans _n_hit _digest _key _id _stays spans base all digest node size mid row hits raw again owner maybe x s w text_ band root n first".split()
+    own = [(i, t, "en", "s", len(t or ""), *[7] * len(names)) for i, t in DOCS]
+    docs = spark.createDataFrame(own, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    labels = spark.createDataFrame([(1, 0), (8, 1), (9, 0)], "doc_id long, toxic int")
+    columns = docs.columns
+    out = staged(neardup.distinct(staged(toxicity.reject(docs, toxicity.train(docs, labels)), "a")), "b")
+    out = staged(secrets.redact(staged(decontaminate.clean(out, spark.createDataFrame(ITEMS, "item_id long, text string")), "c")), "d")
+    assert out.columns == columns and all(r[n] == 7 for r in out.collect() for n in names) and substrings.cut(docs).columns == columns
+    assert packing.packed(out).count() and licenses.scan(docs, licenses.fit([["a"]])).count() == len(DOCS) and media.media(docs).count() == len(DOCS)
+
+
 def test_language_by_code_length(spark, empty):
     rng = random.Random(9)
     alike = {"aa": "abcde", "bb": "fghij", "cc": "abfgé"}
