@@ -13,7 +13,7 @@ doesn't change with a text's length, and is the plain Jaccard where weights are
    from both texts' shingles. Components of verified pairs are found.
 4. Buckets that still hold several components are compared again, in blocks: registers estimate J for
    pairs of different components. First the block's medoid (near copies of one text may be near to it,
-   but less near to each other) and then each node's best partners in every other component are verified,
+   but less near to each other; looked for in the first ``MEDOID_BANDS`` bands) and then each node's best partners in every other component are verified,
    if the estimate is ``ESTIMATE`` or more (five standard errors under 0.8): one each at first, then
    ``GROWTH`` times as many a round, until no candidate between components is left. A pair is only
    looked at in the first band that it shares.
@@ -47,7 +47,7 @@ from strandlake.operators.graph import components
 
 SIZE, LIMIT, ROWS, BANDS, ESTIMATE = 5, 0.8, 7, 56, 0.70
 REGISTERS = ROWS * BANDS
-SHARE, BLOCK, MOST_KEYS, GROWTH = 400, 4096, 300_000, 8
+SHARE, BLOCK, MOST_KEYS, GROWTH, MEDOID_BANDS = 400, 4096, 300_000, 64, 8
 _U = np.uint64
 
 
@@ -284,7 +284,8 @@ def grouped(docs: DataFrame, limit: float = LIMIT, most_keys: int = MOST_KEYS) -
     stars = members.filter("node != centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
     links = staged(verified(staged(stars, "stars"), held, limit), "links")
     roots = components(links)
-    tried = staged(_across(members, held, roots, _medoids), "across")
+    # medoids only spare partners' pairs, so a few bands are enough for them; partners go through all
+    tried = staged(_across(members.filter(F.col("b") < MEDOID_BANDS), held, roots, _medoids), "across")
     if not tried.isEmpty():
         links = staged(links.unionByName(verified(tried, held, limit)), "links")
         roots = components(links)
