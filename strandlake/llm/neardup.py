@@ -11,10 +11,10 @@ doesn't change with a text's length, and is the plain Jaccard where weights are
    bands share a bucket. At J = 0.8 a pair is missed with chance (1 - 0.8**7)**56 = 2e-6.
 3. In each bucket its least node is the centre, and only pairs with the centre are verified, exactly,
    from both texts' shingles. Components of verified pairs are found.
-4. Buckets that still hold several components are compared again, in blocks: registers estimate J for
-   pairs of different components. First the block's medoid (near copies of one text may be near to it,
+4. Buckets that still hold several components are compared again, in blocks: ``FINE`` more registers, a
+   byte of each, estimate J for pairs of different components. First the block's medoid (near copies of one text may be near to it,
    but less near to each other; looked for in the first ``MEDOID_BANDS`` bands) and then each node's best partners in every other component are verified,
-   if the estimate is ``ESTIMATE`` or more (five standard errors under 0.8): one each at first, then
+   if the estimate is no more than five standard errors under 0.8: one each at first, then
    ``GROWTH`` times as many a round, until no candidate between components is left. A pair is only
    looked at in the first band that it shares.
 
@@ -23,7 +23,7 @@ components that stay apart. A centre with
 many partners is dealt over several tasks, its shingles going along to each.
 
 A bucket of n unlike texts has its registers compared all with all, in pairs of blocks of ``BLOCK``: each member is
-sent to n / ``BLOCK`` of them, and a pair costs a comparison of 392 numbers, no row. No finer
+sent to n / ``BLOCK`` of them, and a pair costs a comparison of ``FINE`` bytes, no row. No finer
 banding could replace that without losing links: two texts of J = 0.7 meet in bands of any length
 nearly as often as two of 0.8.
 
@@ -34,6 +34,7 @@ rows; extra columns are left out of ``classes`` and kept by ``distinct``, whatev
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,10 +46,14 @@ from strandlake.llm import bytewords as B
 from strandlake.llm.common import joined, own_name, shielded, staged, text_or_empty
 from strandlake.operators.graph import components
 
-SIZE, LIMIT, ROWS, BANDS, ESTIMATE = 5, 0.8, 7, 56, 0.70
+SIZE, LIMIT, ROWS, BANDS = 5, 0.8, 7, 56
 REGISTERS = ROWS * BANDS
-SHARE, BLOCK, MOST_KEYS, GROWTH, MEDOID_BANDS = 400, 4096, 300_000, 64, 8
+FINE = 1024  # registers for estimates, a byte each
+SHARE, BLOCK, MOST_KEYS, GROWTH, MEDOID_BANDS = 400, 4096, 300_000, 8, 8
 _U = np.uint64
+_AGREE = LIMIT + (1 - LIMIT) / 256  # chance that a byte agrees at the limit: bytes of unlike shingles may as well
+#: Fewer equal bytes lie over five standard errors under what the limit gives.
+LEAST_EQUAL = math.floor(FINE * _AGREE - 5 * math.sqrt(FINE * _AGREE * (1 - _AGREE)))
 
 
 def weighted(data: np.ndarray, offsets: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,16 +142,17 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def shingled(docs: DataFrame) -> DataFrame:
-    """(node, text) -> node, and as bytes its shingles, weights and registers."""
+    """(node, text) -> node, and as bytes its shingles, weights and ``sig``: bands and fine registers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = B.buffers(batch.column("text"))
             for i, j in B.slices(offsets, 1 << 19):
                 own = offsets[i : j + 1] - offsets[i]
                 s, w, d = weighted(data[offsets[i] : offsets[j]], own)
-                sig = B.mix(registers(s, w, d, j - i)).astype(np.uint32)
+                keys = bands(registers(s, w, d, j - i))
+                fine = B.mix(registers(s, w, d, j - i, FINE)).astype(np.uint8)
                 cut = np.searchsorted(d, np.arange(j - i + 1))
-                rows = [(s[a:b].tobytes(), w[a:b].astype(np.float32).tobytes(), sig[k].tobytes()) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
+                rows = [(s[a:b].tobytes(), w[a:b].astype(np.float32).tobytes(), keys[k].tobytes() + fine[k].tobytes()) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
                 cols = [pa.array(c, pa.binary()) for c in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i), *cols], names=["node", "s", "w", "sig"])
 
@@ -221,17 +227,17 @@ def _across(members: DataFrame, held: DataFrame, roots: DataFrame, pick) -> Data
     rows = rows.join(held.select("node", "sig"), "node")
 
     def chosen(cols: dict[str, np.ndarray], sigs: list) -> tuple[list[int], list[int]]:
-        sig = np.frombuffer(b"".join(sigs), np.uint32).reshape(len(sigs), REGISTERS)
+        whole = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), 8 * BANDS + FINE)
+        keys, sig = np.ascontiguousarray(whole[:, : 8 * BANDS]).view(np.uint64), np.ascontiguousarray(whole[:, 8 * BANDS :])
         node, root, own, b = cols["node"], cols["root"], cols["own"], int(cols["b"][0])
         two = cols["i"][0] != cols["j"][0]
 
         def meet(k: int) -> tuple[np.ndarray, np.ndarray]:
             """Members of other components whose estimate suffices and whose first common band is this one."""
-            equal = sig == sig[k]
-            near = np.count_nonzero(equal, axis=1) / REGISTERS
-            at = np.flatnonzero((near >= ESTIMATE) & (root != root[k]) & ~(two & (own == own[k])))
+            near = np.count_nonzero(sig == sig[k], axis=1)
+            at = np.flatnonzero((near >= LEAST_EQUAL) & (root != root[k]) & ~(two & (own == own[k])))
             if b and len(at):
-                at = at[~equal[at, : b * ROWS].reshape(len(at), b, ROWS).all(axis=2).any(axis=1)]
+                at = at[~(keys[at, :b] == keys[k, :b]).any(axis=1)]
             return at, near[at]
 
         out = sorted({(min(node[k], node[a]), max(node[k], node[a])) if k >= 0 else (-1, cols["band"][0]) for k, a in pick(sig, root, meet)})
@@ -311,7 +317,7 @@ def grouped(docs: DataFrame, limit: float = LIMIT, most_keys: int = MOST_KEYS) -
 
 
 def classes(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class), class_size, keep for every row: ``keep`` marks
+    """doc_id, class_id (the least doc_id of the class), class_size, keep for every row (``limit``: ``LIMIT`` or more): ``keep`` marks
     the one row of the class that stays."""
     rows, named = grouped(docs, limit)
     out = joined(rows, named.drop("n"), ["digest"], sizes=named)
