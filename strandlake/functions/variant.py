@@ -170,3 +170,42 @@ def info_predicate(info: Column, test: str, filter_: Column | None = None) -> Co
 def pass_like(filter_: Column, exact: bool = True) -> Column:
     """PASS or 0 exactly, or (``exact=False``) a string that contains PASS."""
     return filter_.isin("PASS", "0") if exact else F.contains(filter_, F.lit("PASS"))
+
+
+def is_snp(ref: Column, alt: Column) -> Column:
+    """one base on either side."""
+    return (F.length(ref) == 1) & (F.length(alt) == 1)
+
+
+def is_indel(ref: Column, alt: Column) -> Column:
+    """one ALT, of another length than one base for one."""
+    return ~F.contains(alt, F.lit(",")) & ((F.length(ref) > 1) | (F.length(alt) > 1))
+
+
+def autosomal(chrom: Column) -> Column:
+    """F4."""
+    return chrom.rlike(r"^(chr)?\d+$")
+
+
+def maf_between(ac: Column, an: Column, low: float, high: float) -> Column:
+    """F8: the minor allele's share, both ends in."""
+    return (minor(ac, an) / an).between(low, high)
+
+
+def polymorphic(ac: Column, an: Column) -> Column:
+    """Both alleles occur."""
+    return (ac > 0) & (ac < an)
+
+
+def substituted(template: str, values: dict[str, Column]) -> Column:
+    """``$k$`` and ``${k}$`` of a template by each row's values."""
+    out = F.lit(template)
+    for name, value in values.items():
+        for mark in (f"${name}$", f"${{{name}}}$"):
+            out = F.replace(out, F.lit(mark), value)
+    return out
+
+
+def pair_squares(pairs: list[tuple[Column, Column]]) -> Column:
+    """Sum of the squared differences of the pairs."""
+    return sum(((a - b) * (a - b) for a, b in pairs[1:]), (pairs[0][0] - pairs[0][1]) * (pairs[0][0] - pairs[0][1]))

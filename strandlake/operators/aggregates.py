@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.operators.ordered import running_sum
+
 #: Cells of the site summary: (ts ? 0 : 1) + (cpg ? 2 : 0) + (known ? 0 : 4)
 CELLS = "abcdefgh"
 
@@ -61,8 +63,10 @@ def merge_reports(reports: DataFrame, key: str) -> DataFrame:
 
 
 def flag_cube(df: DataFrame, flags: list[str], sums: list[str]) -> DataFrame:
-    """Every combination of 0, 1 and 2 (all) of the flags; cells without weight are dropped."""
-    out = df.cube(*flags).agg(*[F.sum(s).alias(s) for s in sums], *[F.grouping(f).alias(f"_{f}") for f in flags])
+    """Every combination of 0, 1 and 2 (all) of the flags; cells without weight are dropped.
+
+    Rows are summed by their own flags first, so that the cube copies 2**flags rows at most, not the table's."""
+    out = df.groupBy(*flags).agg(*[F.sum(s).alias(s) for s in sums]).cube(*flags).agg(*[F.sum(s).alias(s) for s in sums], *[F.grouping(f).alias(f"_{f}") for f in flags])
     out = out.select(*[F.when(F.col(f"_{f}") == 1, 2).otherwise(F.col(f).cast("int")).alias(f) for f in flags], *sums)
     return out.filter(reduce(lambda a, b: a + b, [F.col(s) for s in sums]) > 0)
 
@@ -96,8 +100,8 @@ def weighted_moments(hist: DataFrame, keys: list[str], x: str, n: str, cap: floa
 def quantile_bins(hist: DataFrame, x: str, y: str, z: str, cuts: list[float]) -> DataFrame:
     """Mean of y by percentile bins of the weight z in the order of x, rows that straddle a cut
     counting in part on either side."""
-    w = Window.orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    run = hist.withColumn("_to", F.sum(z).over(w)).withColumn("_from", F.col("_to") - F.col(z)).withColumn("_all", F.sum(z).over(Window.partitionBy()))
+    total = hist.agg(F.sum(z).alias("_all"))  # one row
+    run = running_sum(hist, [x], z, "_to").withColumn("_from", F.col("_to") - F.col(z)).crossJoin(total)
     edges = F.array(*[F.struct(F.lit(i).alias("bin"), F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
     part = run.withColumn("_e", F.explode(edges))
     part = part.withColumn("_part", F.least("_to", F.col("_e.b") * F.col("_all")) - F.greatest("_from", F.col("_e.a") * F.col("_all"))).filter("_part > 0")
@@ -109,12 +113,12 @@ def labels_of(df: DataFrame, keys: list[str], label: str, separator: str = ",")
     return df.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_set(label)), separator).alias("labels"))
 
 
-def matched_sample(positives: DataFrame, negatives: DataFrame, bin_: str, keys: list[str], seed: int = 1) -> DataFrame:
+def matched_sample(positives: DataFrame, negatives: DataFrame, bin_: str, keys: list[str], seed: int = 1, draw: Column | None = None) -> DataFrame:
     """Negatives kept with chance min(1, positives/negatives) of their bin; the draw is a hash of the
-    row's keys, so the sample is the same for the same rows."""
+    row's keys (or given, a number in 0..1), so the sample is the same for the same rows."""
     p = positives.groupBy(bin_).agg(F.count("*").alias("_p"))
     n = negatives.groupBy(bin_).agg(F.count("*").alias("_n"))
-    draw = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    draw = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1_000_000)) / 1_000_000 if draw is None else draw
     return negatives.join(n, bin_).join(p, bin_).filter(draw < F.col("_p") / F.col("_n")).drop("_p", "_n")
 
 

@@ -75,6 +75,12 @@ def masked(d: Column, m: Column, k: Column, x_linked: bool = False) -> Column:
     return F.when((d > 0) & (m > 0) & (k > 0), F.get(cells, (9 * (d - 1) + 3 * (m - 1) + (k - 1)).cast("int")) == 1).otherwise(F.lit(False))
 
 
+def masked_pair(a: Column, b: Column) -> Column:
+    """Whether two known genotypes of one person differ, by the 9-cell mask."""
+    cells = F.array(*[F.lit(v) for v in DISCORDANT_PAIR])
+    return F.when((a > 0) & (b > 0), F.get(cells, (3 * (a - 1) + (b - 1)).cast("int")) == 1).otherwise(F.lit(False))
+
+
 def families_passing(members: DataFrame, family: str, ok: str) -> DataFrame:
     """Families all of whose members pass."""
     return members.groupBy(family).agg(F.bool_and(ok).alias("ok")).filter("ok").drop("ok")

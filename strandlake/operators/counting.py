@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions import reads as R
+from strandlake.operators.ordered import with_row_number
 
 
 def umi_counts(reads: DataFrame, keys: list[str], umi: str = "umi") -> DataFrame:
@@ -66,13 +67,15 @@ def threshold_counts(hist: DataFrame, keys: list[str], n: str, levels: list[int]
 def filter_matrix(m: DataFrame, row: str, col: str, value: str, min_col: float, min_row: float) -> DataFrame:
     """Columns (barcodes) with enough weight, then rows (genes) with enough weight in them;
     both numbered anew from 1, and each value's share of its column."""
-    kept = m.withColumn("_c", F.sum(value).over(Window.partitionBy(col))).filter(F.col("_c") >= min_col).drop("_c")
-    kept = kept.withColumn("_r", F.sum(value).over(Window.partitionBy(row))).filter(F.col("_r") >= min_row).drop("_r")
-    share = F.col(value) / F.sum(value).over(Window.partitionBy(col))
-    out = kept.withColumn("norm", F.round(share, 6))
-    rows = out.select(row).distinct().withColumn("row_no", F.row_number().over(Window.orderBy(row)))
-    cols = out.select(col).distinct().withColumn("col_no", F.row_number().over(Window.orderBy(col)))
-    return out.join(rows, row).join(cols, col)
+    wide = m.groupBy(col).agg(F.sum(value).alias("_c")).filter(F.col("_c") >= min_col).select(col)
+    kept = m.join(wide, col)
+    tall = kept.groupBy(row).agg(F.sum(value).alias("_r")).filter(F.col("_r") >= min_row).select(row)
+    kept = kept.join(tall, row)
+    # sums are aggregated apart and joined, so that no column's values meet in one task; numbers come from range partitions
+    sums = with_row_number(kept.groupBy(col).agg(F.sum(value).alias("_all")), [col], "col_no")
+    rows = with_row_number(tall, [row], "row_no")
+    out = kept.join(sums, col).join(rows, row)
+    return out.withColumn("norm", F.round(F.col(value) / F.col("_all"), 6)).drop("_all")
 
 
 def pileup(reads: DataFrame) -> DataFrame:
@@ -106,12 +109,13 @@ def breakpoint_depth(reads: DataFrame, regions: DataFrame, win: int, width: int)
     return met.groupBy("chrom", "rb", "re").agg(part(F.col("rb") - win, F.col("rb")).alias("before"), part(F.col("rb"), F.col("re")).alias("inside"), part(F.col("re"), F.col("re") + win).alias("after"), F.count_if(R.soft_clips(F.col("cigar")) > 0).alias("clipped"))
 
 
-def tandem_shifts(seqs: DataFrame, seq: str, max_del: int, max_shift: int) -> DataFrame:
+def tandem_shifts(seqs: DataFrame, seq: str, max_del: int, max_shift: int, by_allele: bool = False) -> DataFrame:
     """For each place and deletion length j how far the j-long motif there repeats to the left and
-    right (each up to ``max_shift``), counted by j and sum. Strings are taken apart by expressions."""
+    right (each up to ``max_shift``), counted by j and sum, or ``by_allele`` by the deleted motif and sum.
+    Deletions that begin at an N, or reach the last base, are left out. Strings are taken apart by expressions."""
     chars = F.split(F.col(seq), "")
     base = seqs.select(chars.alias("_s")).withColumn("_n", F.size("_s"))
-    rows = base.select("_s", "_n", F.posexplode("_s").alias("i", "c")).filter(F.col("c").isin("A", "C", "G", "T")).withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(max_del)))).filter("i + j <= _n")
+    rows = base.select("_s", "_n", F.posexplode("_s").alias("i", "c")).filter("c != 'N' and c != ''").withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(max_del)))).filter("i + j < _n")
 
     def run(step: int):
         """Bases next to the motif (from its first base leftward, from its last rightward) that continue it."""
@@ -122,4 +126,6 @@ def tandem_shifts(seqs: DataFrame, seq: str, max_del: int, max_shift: int) -> Da
         miss = F.array_min(F.filter(ks, lambda k: ~ok(k)))
         return F.coalesce(miss - 1, F.lit(max_shift))
 
-    return rows.withColumn("shift", run(-1) + run(1)).groupBy("j", "shift").agg(F.count("*").alias("n"))
+    if by_allele:
+        rows = rows.withColumn("motif", F.array_join(F.slice("_s", F.col("i") + 1, F.col("j")), ""))
+    return rows.withColumn("shift", run(-1) + run(1)).groupBy(*(["motif"] if by_allele else ["j"]), "shift").agg(F.count("*").alias("n"))

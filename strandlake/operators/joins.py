@@ -79,6 +79,11 @@ def lookup_or_default(df: DataFrame, table: DataFrame, key: str, value: str, out
     return df.join(pairs, key, "left").withColumn(out, F.coalesce("_v", miss)).drop("_v")
 
 
+def values_at(rows: DataFrame, table: DataFrame, keys: list[str], value: str, missing: str = "NA") -> DataFrame:
+    """Rows with the value (as text) at their place, ``missing`` where the table has none."""
+    return rows.join(table.select(*keys, value), keys, "left").withColumn(value, F.coalesce(F.col(value).cast("string"), F.lit(missing)))
+
+
 def combine_likelihoods(rows: DataFrame, keys: list[str], max_pl: int = 60) -> DataFrame:
     """Full outer merge of call sets in long form: PLs (and depths) are summed per site and
     sample, brought to least 0 and capped."""

@@ -30,7 +30,7 @@ def start_af(ls: Column) -> Column:
 
 
 def em_af(ls: Column, af0: Column, rounds: int) -> Column:
-    """M1, M3: ``rounds`` of EM: af = (sum (p1 + 2 p2 + 1e-30) / (p0 + p1 + p2 + 1e-30) + 1e-6) / (2n + 2e-6)."""
+    """M3: ``rounds`` of EM: af = (sum (p1 + 2 p2 + 1e-30) / (p0 + p1 + p2 + 1e-30) + 1e-6) / (2n + 2e-6)."""
     def round_(af: Column, _: Column) -> Column:
         def step(s: Column, x: Column) -> Column:
             _, b, c, t = _posterior(x, (1 - af) * (1 - af), 2 * af * (1 - af), af * af)
@@ -41,39 +41,53 @@ def em_af(ls: Column, af0: Column, rounds: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), af0.cast("double"), round_)
 
 
-def em_gf(ls: Column, af: Column, rounds: int) -> Column:
-    """M1: free genotype frequencies by EM, from those that Hardy-Weinberg gives."""
-    zero = F.struct(F.lit(0.0).alias("g0"), F.lit(0.0).alias("g1"), F.lit(0.0).alias("g2"))
+def em_until(ls: Column, af0: Column, most: int = 100, least: float = 1e-4) -> Column:
+    """M1: EM of the allele frequency under Hardy-Weinberg and of free genotype frequencies side by side,
+    until the squares of the changes of af, g1 and g2 sum to ``least`` or less, ``most`` rounds at most:
+    struct of af, g0, g1, g2, rounds, done."""
 
-    def round_(g: Column, _: Column) -> Column:
-        def step(s: Column, x: Column) -> Column:
-            a, b, c, t = _posterior(x, g["g0"], g["g1"], g["g2"])
-            return F.struct((s["g0"] + a / t).alias("g0"), (s["g1"] + b / t).alias("g1"), (s["g2"] + c / t).alias("g2"))
+    def state(af: Column, g: list[Column], rounds: Column, done: Column) -> Column:
+        return F.struct(af.alias("af"), *[x.alias(f"g{i}") for i, x in enumerate(g)], rounds.alias("rounds"), done.alias("done"))
+
+    def round_(s: Column, _: Column) -> Column:
+        af = s["af"]
+
+        def step(t: Column, x: Column) -> Column:
+            _, b, c, all_ = _posterior(x, (1 - af) * (1 - af), 2 * af * (1 - af), af * af)
+            f = [x[f"l{i}"] * s[f"g{i}"] for i in range(3)]
+            total = f[0] + f[1] + f[2] + 3e-30
+            return F.struct((t["ac"] + (b + 2 * c + 1e-30) / (all_ + 1e-30)).alias("ac"), *[(t[f"g{i}"] + (f[i] + 1e-30) / total).alias(f"g{i}") for i in range(3)])
 
-        return F.aggregate(ls, zero, step, lambda s: F.struct(*[(s[f"g{i}"] / F.size(ls)).alias(f"g{i}") for i in range(3)]))
+        zero = F.struct(F.lit(0.0).alias("ac"), *[F.lit(0.0).alias(f"g{i}") for i in range(3)])
+        n = F.size(ls)
+        sums = F.aggregate(ls, zero, step, lambda t: F.struct(((t["ac"] + 1e-6) / (2 * n + 2e-6)).alias("af"), *[((t[f"g{i}"] + 1e-10) / (n + 3e-10)).alias(f"g{i}") for i in range(3)]))
+        square = lambda a, b: (a - b) * (a - b)
+        moved = lambda z: square(s["af"], z["af"]) + square(s["g1"], z["g1"]) + square(s["g2"], z["g2"])
+        new = F.transform(F.array(sums), lambda z: state(z["af"], [z[f"g{i}"] for i in range(3)], s["rounds"] + 1, F.coalesce(moved(z) <= least, F.lit(True))))[0]
+        return F.when(s["done"], s).otherwise(new)
 
-    start = F.struct(((1 - af) * (1 - af)).alias("g0"), (2 * af * (1 - af)).alias("g1"), (af * af).alias("g2"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, round_)
+    af = af0.cast("double")
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), state(af, [(1 - af) * (1 - af), 2 * af * (1 - af), af * af], F.lit(0), F.lit(False)), round_)
 
 
 def log_likelihood(ls: Column, g0: Column, g1: Column, g2: Column) -> Column:
-    return F.aggregate(ls, F.lit(0.0), lambda s, x: s + F.log(_posterior(x, g0, g1, g2)[3] + 1e-100))
+    return F.aggregate(ls, F.lit(0.0), lambda s, x: s + F.log(_posterior(x, g0, g1, g2)[3] + 3e-30))
 
 
-def hardy_weinberg(variants: DataFrame, keys: list[str], rounds: int = 20) -> DataFrame:
+def hardy_weinberg(variants: DataFrame, keys: list[str]) -> DataFrame:
     """M2: af, the likelihood ratio 2 (lnL_free - lnL_hwe) and FIC = 1 - sum P(het) / (2 af (1 - af) n)."""
-    af = F.col("af")
+    af = F.col("_af")  # a name that no result has: inside lambdas a result's name would be taken first
     hwe = ((1 - af) * (1 - af), 2 * af * (1 - af), af * af)
-    out = variants.withColumn("af", em_af(F.col("ls"), start_af(F.col("ls")), rounds)).withColumn("g", em_gf(F.col("ls"), af, rounds))
+    out = variants.withColumn("g", em_until(F.col("ls"), start_af(F.col("ls")))).withColumn("_af", F.col("g.af"))
     free = [F.col(f"g.g{i}") for i in range(3)]
 
     def het(s: Column, x: Column) -> Column:
         _, b, _, t = _posterior(x, *hwe)
-        return s + b / t
+        return s + (b + 1e-30) / (t + 3e-30)
 
     lrt = 2 * (log_likelihood(F.col("ls"), *free) - log_likelihood(F.col("ls"), *hwe))
     fic = 1 - F.aggregate("ls", F.lit(0.0), het) / (2 * af * (1 - af) * F.size("ls"))
-    return out.select(*keys, F.round("af", 6).alias("af"), F.round(lrt, 4).alias("lrt"), F.round(fic, 4).alias("fic"), *[F.round(free[i], 6).alias(f"gf{i}") for i in range(3)])
+    return out.select(*keys, F.round(af, 6).alias("af"), F.round(lrt, 4).alias("lrt"), F.round(fic, 4).alias("fic"), *[F.round(free[i], 6).alias(f"gf{i}") for i in range(3)])
 
 
 def called(x: Column, af: Column) -> dict[str, Column]:

@@ -53,17 +53,34 @@ def listed_order(df: DataFrame, order: DataFrame, key: str, rank: str) -> DataFr
     return df.join(order.select(key, rank), key).orderBy(rank)
 
 
-def shuffled(df: DataFrame, keys: list[str], seed: int) -> DataFrame:
-    """By a hash of the row's keys: the same for the same rows."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys)
+def shuffled(df: DataFrame, keys: list[str], seed: int, draw: Column | None = None) -> DataFrame:
+    """By a hash of the row's keys (or a given ``draw``): the same for the same rows. ``place``: 1, 2, ..."""
+    draw = F.xxhash64(*keys, F.lit(seed)) if draw is None else draw
+    return with_row_number(df.withColumn("_draw", draw), ["_draw", *keys], "place").drop("_draw")
 
 
 def drop_repeats(df: DataFrame, partition: list[str], order: list[str], value: str) -> DataFrame:
-    """rows whose value equals that of the row before go."""
+    """rows whose value equals that of the row before go.
+
+    Where rows are in the order of the value itself, equal ones are neighbours: the first of each stays,
+    and rows are dealt by value too, not by ``partition`` alone."""
+    if order[0] == value:
+        first = F.row_number().over(Window.partitionBy(*partition, value).orderBy(*order))
+        return df.withColumn("_b", first).filter(F.col("_b") == 1).drop("_b")
     before = F.lag(value).over(Window.partitionBy(*partition).orderBy(*order))
     return df.withColumn("_b", before).filter(F.col("_b").isNull() | (F.col("_b") != F.col(value))).drop("_b")
 
 
+def running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """The sum of ``value`` over all rows up to each one, in a total order: sums within range partitions,
+    plus those of the partitions before."""
+    cut = staged(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "running")
+    sums = cut.groupBy("_p").agg(F.sum(value).alias("_s"))
+    before = sums.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    local = F.sum(value).over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return cut.withColumn("_k", local).join(before, "_p").withColumn(name, F.col("_k") + F.col("_before")).drop("_p", "_k", "_before")
+
+
 def tail_fraction(hist: DataFrame, keys: list[str], x: str, n: str) -> DataFrame:
     """Share of the weight at x and above."""
     up = Window.partitionBy(*keys).orderBy(F.col(x).desc())
@@ -79,10 +96,9 @@ def running_quantile(hist: DataFrame, keys: list[str], x: str, n: str, q: float)
 
 def knee(hist: DataFrame, key: str, n: str) -> DataFrame:
     """Rank of each key by falling count and the cumulative share up to it."""
-    order = [F.col(n).desc(), F.col(key)]
-    numbered = with_row_number(hist.withColumn("_neg", -F.col(n)), ["_neg", key], "rank").drop("_neg")
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return numbered.withColumn("share", F.sum(n).over(w) / F.sum(n).over(Window.partitionBy()))
+    numbered = with_row_number(hist.withColumn("_neg", -F.col(n)), ["_neg", key], "rank")
+    total = hist.agg(F.sum(n).alias("_all"))  # one row
+    return running_sum(numbered, ["_neg", key], n, "_to").crossJoin(total).withColumn("share", F.col("_to") / F.col("_all")).drop("_neg", "_to", "_all")
 
 
 def islands(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:

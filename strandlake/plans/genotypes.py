@@ -136,34 +136,53 @@ def ld_r2(spark, sf_dir):
 
 def _em(rounds: int) -> str:
     """Unrolled EM in SQL: each round is one more pair of CTEs."""
-    sql = ctes("genotypes") + """, l AS (SELECT vid, sample, pow(10, -pl0 / 10.0) AS a, pow(10, -pl1 / 10.0) AS b, pow(10, -pl2 / 10.0) AS c, pl0, pl1, pl2 FROM genotypes WHERE vid % 4 = 1),
+    sql = ctes("genotypes") + """, l AS (SELECT vid, sample, pow(10, -pl0 / 10.0) AS a, pow(10, -pl1 / 10.0) AS b, pow(10, -pl2 / 10.0) AS c, pl0, pl1, pl2 FROM genotypes),
 e0 AS (SELECT vid, (count_if(pl1 = 0) + 2 * count_if(pl2 = 0)) / nullif(count_if(pl0 = 0) + count_if(pl1 = 0) + count_if(pl2 = 0), 0) / 2 AS af FROM l GROUP BY vid)"""
     for i in range(1, rounds + 1):
         sql += f", e{i} AS (SELECT vid, (sum((2*af*(1-af)*b + 2*af*af*c + 1e-30) / ((1-af)*(1-af)*a + 2*af*(1-af)*b + af*af*c + 1e-30)) + 1e-6) / (2 * count(*) + 2e-6) AS af FROM l JOIN e{i - 1} USING (vid) GROUP BY vid)"
     return sql
 
 
-@plans.query(_em(10) + " SELECT vid, round(af, 6) AS af FROM e10")
+def _until() -> str:
+    """EM to its stop rule in SQL: a fold over 100 rounds that keeps a state that is done."""
+    free = [f"(t.l{i} * s.g{i} + 1e-30) / (t.l0 * s.g0 + t.l1 * s.g1 + t.l2 * s.g2 + 3e-30)" for i in range(3)]
+    part = lambda x: f"list_sum(list_transform(ls, lambda t: {x}))"
+    af = part("(2*s.af*(1-s.af)*t.l1 + 2*s.af*s.af*t.l2 + 1e-30) / ((1-s.af)*(1-s.af)*t.l0 + 2*s.af*(1-s.af)*t.l1 + s.af*s.af*t.l2 + 1e-30)")
+    new = f"{{'af': ({af} + 1e-6) / (2 * len(ls) + 2e-6), " + ", ".join(f"'g{i}': ({part(x)} + 1e-10) / (len(ls) + 3e-10)" for i, x in enumerate(free)) + "}"
+    moved = " + ".join(f"(s.{k} - z.{k}) * (s.{k} - z.{k})" for k in ("af", "g1", "g2"))
+    step = f"list_transform([{new}], lambda z: {{'af': z.af, 'g0': z.g0, 'g1': z.g1, 'g2': z.g2, 'rounds': s.rounds + 1, 'done': coalesce({moved} <= 1e-4, TRUE)}})[1]"
+    zero = "{'af': CAST(NULL AS DOUBLE), 'g0': CAST(NULL AS DOUBLE), 'g1': CAST(NULL AS DOUBLE), 'g2': CAST(NULL AS DOUBLE), 'rounds': 0, 'done': FALSE}"
+    start = "{'af': CAST(af AS DOUBLE), 'g0': CAST((1-af)*(1-af) AS DOUBLE), 'g1': CAST(2*af*(1-af) AS DOUBLE), 'g2': CAST(af*af AS DOUBLE), 'rounds': 0, 'done': FALSE}"
+    return ctes("genotypes") + f""", v AS (SELECT vid, list({{'l0': pow(10, -pl0 / 10.0), 'l1': pow(10, -pl1 / 10.0), 'l2': pow(10, -pl2 / 10.0)}} ORDER BY sample) AS ls, (count_if(pl1 = 0) + 2 * count_if(pl2 = 0)) / nullif(count_if(pl0 = 0) + count_if(pl1 = 0) + count_if(pl2 = 0), 0) / 2 AS af FROM genotypes GROUP BY vid),
+u AS (SELECT vid, ls, list_reduce(list_concat([{start}], list_transform(range(100), lambda i: {zero})), lambda s, x: CASE WHEN s.done THEN s ELSE {step} END) AS e FROM v)"""
+
+
+@plans.query(_until() + " SELECT vid, round(e.af, 6) AS af, CAST(e.rounds AS INT) AS rounds, round(e.g1, 6) AS g1 FROM u")
 def em_af(spark, sf_dir):
-    """M1, M3: 10 rounds."""
-    g = view(spark, sf_dir, "genotypes").filter("vid % 4 = 1")
-    v = L.by_variant(g, ["vid"], "sample")
-    return v.select("vid", F.round(L.em_af(F.col("ls"), L.start_af(F.col("ls")), 10), 6).alias("af"))
+    """M1: to its stop rule."""
+    v = L.by_variant(view(spark, sf_dir, "genotypes"), ["vid"], "sample")
+    e = v.select("vid", L.em_until(F.col("ls"), L.start_af(F.col("ls"))).alias("e"))
+    return e.select("vid", F.round("e.af", 6).alias("af"), "e.rounds", F.round("e.g1", 6).alias("g1"))
 
 
 @plans.query(_em(10) + """, p AS (SELECT vid, sample, (1-af)*(1-af)*a AS a, 2*af*(1-af)*b AS b, af*af*c AS c FROM l JOIN e10 USING (vid) WHERE af IS NOT NULL)
 SELECT vid, sample, CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END AS gt, round(greatest(a, b, c) / (a + b + c), 6) AS gp FROM p""")
 def em_genotypes(spark, sf_dir):
-    """M3: GP and GT."""
-    g = view(spark, sf_dir, "genotypes").filter("vid % 4 = 1")
+    """M3: 10 rounds, GP and GT."""
+    g = view(spark, sf_dir, "genotypes")
     v = L.by_variant(g, ["vid"], "sample").withColumn("af", L.em_af(F.col("ls"), L.start_af(F.col("ls")), 10)).filter("af is not null")
     c = L.called(F.col("x"), F.col("af"))
     return v.select("vid", "af", F.explode("ls").alias("x")).select("vid", F.col("x.sample").alias("sample"), c["gt"].alias("gt"), F.round(c["gp"], 6).alias("gp"))
 
 
-@plans.query()
+def _free(g: list[str]) -> str:
+    return "list_sum(list_transform(ls, lambda t: ln(" + " + ".join(f"t.l{i} * {x}" for i, x in enumerate(g)) + " + 3e-30)))"
+
+
+@plans.query(_until() + f""", a AS (SELECT vid, ls, e.af AS af, e.g0 AS g0, e.g1 AS g1, e.g2 AS g2, (1-e.af)*(1-e.af) AS h0, 2*e.af*(1-e.af) AS h1, e.af*e.af AS h2 FROM u)
+SELECT vid, round(af, 6) AS af, round(2 * ({_free(["g0", "g1", "g2"])} - {_free(["h0", "h1", "h2"])}), 4) AS lrt, round(1 - list_sum(list_transform(ls, lambda t: (t.l1*h1 + 1e-30) / (t.l0*h0 + t.l1*h1 + t.l2*h2 + 3e-30))) / (h1 * len(ls)), 4) AS fic, round(g0, 6) AS gf0, round(g1, 6) AS gf1, round(g2, 6) AS gf2 FROM a""")
 def hwe_test(spark, sf_dir):
-    """Tests compare it with plain Python."""
+    """M2, C13."""
     g = view(spark, sf_dir, "genotypes")
     return L.hardy_weinberg(L.by_variant(g, ["vid"], "sample"), ["vid"])
 
@@ -189,9 +208,22 @@ def infer_ped_dups(spark, sf_dir):
     return P.duplicate_sets(p)
 
 
-@plans.query()
+FAMILIES = """, r AS (SELECT DISTINCT id1, id2, CASE WHEN kin_milli / 1000.0 > 0.98 THEN 'DUP' WHEN kin_milli / 1000.0 > 0.6 AND ibs0_permille / 1000.0 < 0.0035 THEN 'PO' WHEN kin_milli / 1000.0 > 0.6 THEN 'FS' ELSE 'ETC' END AS rel FROM pairs),
+e AS (SELECT * FROM r WHERE rel <> 'ETC'), s AS (SELECT id1 AS u, id2 AS v FROM e WHERE rel = 'DUP' UNION SELECT id2, id1 FROM e WHERE rel = 'DUP'),
+w AS (SELECT * FROM (WITH RECURSIVE w AS (SELECT u AS node, u AS root FROM s UNION SELECT s.v, w.root FROM w JOIN s ON s.u = w.node) SELECT * FROM w)),
+reps AS (SELECT n.id, least(n.id, coalesce(min(w.root), n.id)) AS rep FROM (SELECT id1 AS id FROM e UNION SELECT id2 FROM e) n LEFT JOIN w ON w.node = n.id GROUP BY n.id),
+o AS (SELECT DISTINCT a.rep AS id1, b.rep AS id2, rel FROM e JOIN reps a ON a.id = e.id1 JOIN reps b ON b.id = e.id2 WHERE a.rep <> b.rep),
+near AS (SELECT id1 AS kid, id2 AS p FROM o WHERE rel = 'PO' UNION SELECT id2, id1 FROM o WHERE rel = 'PO'),
+two AS (SELECT kid, min(p) AS a, max(p) AS b FROM near GROUP BY kid HAVING count(*) = 2),
+sexed AS (SELECT kid, a, b, x.c_custkey % 2 + 1 AS sa, y.c_custkey % 2 + 1 AS sb FROM two JOIN customer x ON x.c_custkey = a JOIN customer y ON y.c_custkey = b WHERE NOT EXISTS (SELECT 1 FROM o WHERE (o.id1 = a AND o.id2 = b) OR (o.id1 = b AND o.id2 = a))),
+trio AS (SELECT kid, CASE WHEN sa < sb THEN a ELSE b END AS dad, CASE WHEN sa < sb THEN b ELSE a END AS mom FROM sexed WHERE sa <> sb),
+kept AS (SELECT * FROM trio WHERE dad IN (SELECT dad FROM trio GROUP BY dad HAVING count(DISTINCT mom) = 1) AND mom IN (SELECT mom FROM trio GROUP BY mom HAVING count(DISTINCT dad) = 1))
+SELECT kid, dad, mom FROM kept WHERE dad NOT IN (SELECT kid FROM kept) AND mom NOT IN (SELECT kid FROM kept)"""
+
+
+@plans.query(ctes("pairs") + FAMILIES)
 def infer_ped_families(spark, sf_dir):
-    """Tests compare it with plain Python."""
+    """M13, J24, S27."""
     p = view(spark, sf_dir, "pairs")
     rel = P.relation(F.col("kin_milli") / 1000, F.col("ibs0_permille") / 1000, dup=0.98, rel=0.6)
     sexes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 2 + 1).cast("int").alias("sex"))
@@ -213,7 +245,7 @@ def hard_calls(spark, sf_dir):
     return view(spark, sf_dir, "genotypes").select("vid", "sample", G.call_from_counts(F.least("pl1", "pl0"), F.col("pl0"), 0.01).cast("int").alias("call"))
 
 
-@plans.query(ctes("genotypes") + """, s AS (SELECT vid, sample, '0/' || (g % 2) || ':' || pl0 || ':' || pl0 || ',' || pl1 || ',' || pl2 AS cell FROM genotypes) SELECT vid, sample, string_split(cell, ':')[1] AS gt, string_split(cell, ':')[3] AS pl, CAST(g.g % 2 + 1 AS INT) AS code FROM s JOIN genotypes g USING (vid, sample)""")
+@plans.query(ctes("genotypes") + " SELECT vid, sample, '0/' || (g % 2) AS gt, pl0 || ',' || pl1 || ',' || pl2 AS pl, CAST(g % 2 + 1 AS INT) AS code FROM genotypes")
 def view_gt(spark, sf_dir):
     """Fields by FORMAT from wide rows, one row a sample."""
     g = view(spark, sf_dir, "genotypes")
@@ -274,12 +306,12 @@ def svm_generic_filter(spark, sf_dir):
 
 @plans.query(ctes("variants") + """, w AS (SELECT DISTINCT a || b || c AS kmer, CAST(ascii(a) * 3 + ascii(b) * 5 + ascii(c) * 3 - 500 AS DOUBLE) AS weight FROM (VALUES ('A'),('C'),('G'),('T')) x(a), (VALUES ('A'),('C'),('G'),('T')) y(b), (VALUES ('A'),('C'),('G'),('T')) z(c)),
 b AS (SELECT kmer, max(weight) AS weight FROM (SELECT kmer, weight FROM w UNION ALL SELECT reverse(translate(kmer, 'ACGT', 'TGCA')), weight FROM w) GROUP BY kmer),
-s AS (SELECT vorder, vline, pos, sign, 'AC' || allele || 'GT' AS seq, length(allele) AS la FROM (SELECT vorder, vline, pos, unnest([{'sign': -1, 'allele': ref}, {'sign': 1, 'allele': alt}], recursive := true) FROM (SELECT DISTINCT vorder, vline, pos, ref, alt FROM variants WHERE vorder % 5 = 0))),
+s AS (SELECT vorder, vline, pos, sign, 'AC' || allele || 'GT' AS seq, length(allele) AS la FROM (SELECT vorder, vline, pos, unnest([{'sign': -1, 'allele': ref}, {'sign': 1, 'allele': alt}], recursive := true) FROM (SELECT DISTINCT vorder, vline, pos, ref, alt FROM variants))),
 k AS (SELECT vorder, vline, pos, sign / (3 + la - 1) AS f, unnest(list_transform(range(1, length(seq) - 1), lambda i: substr(seq, i, 3))) AS kmer FROM s)
-SELECT vorder, vline, pos, round(sum(f * coalesce(weight, 0)) * 3, 6) AS delta FROM k LEFT JOIN b USING (kmer) GROUP BY ALL""")
+SELECT vorder, vline, pos, round(sum(f * coalesce(weight, 0)) * 3, 6) + 0.0 AS delta FROM k LEFT JOIN b USING (kmer) GROUP BY ALL""")
 def kmer_score(spark, sf_dir):
     """M12, J28, X1, C29."""
-    v = view(spark, sf_dir, "variants").filter("vorder % 5 = 0").select("vorder", "vline", "pos", "ref", "alt").distinct().withColumn("left", F.lit("AC")).withColumn("right", F.lit("GT"))
+    v = view(spark, sf_dir, "variants").select("vorder", "vline", "pos", "ref", "alt").distinct().withColumn("left", F.lit("AC")).withColumn("right", F.lit("GT"))
     bases = F.array(*[F.lit(b) for b in "ACGT"])
     w = spark.range(1, numPartitions=1).select(F.explode(bases).alias("x")).select("x", F.explode(bases).alias("y")).select("x", "y", F.explode(bases).alias("z"))
     w = w.select(F.concat("x", "y", "z").alias("kmer"), (F.ascii("x") * 3 + F.ascii("y") * 5 + F.ascii("z") * 3 - 500).cast("double").alias("weight"))

@@ -30,7 +30,7 @@ def _intervals(spark, sf_dir):
 @plans.query(ctes("intervals") + f", {MERGED} SELECT * FROM m")
 def interval_merge(spark, sf_dir):
     """W1, U7, S6, C21."""
-    return I.merged(_intervals(spark, sf_dir)).withColumnRenamed("end", "end_pos")
+    return I.merged(_intervals(spark, sf_dir), width=4096).withColumnRenamed("end", "end_pos")
 
 
 @plans.query(ctes("intervals") + f", {MERGED}, l AS (SELECT chrom, coalesce(lag(end_pos) OVER (PARTITION BY chrom ORDER BY beg), 0) AS b, beg AS e FROM m UNION ALL SELECT chrom, max(end_pos), 120000 FROM m GROUP BY chrom) SELECT chrom, b AS beg, e AS end_pos FROM l WHERE e > b")
@@ -38,7 +38,7 @@ def interval_invert(spark, sf_dir):
     """W2."""
     iv = _intervals(spark, sf_dir)
     sizes = iv.select("chrom").distinct().withColumn("size", F.lit(120000).cast("long"))
-    return I.inverted(iv, sizes).withColumnRenamed("end", "end_pos")
+    return I.inverted(iv, sizes, width=4096).withColumnRenamed("end", "end_pos")
 
 
 @plans.query(ctes("intervals") + f", {MERGED} SELECT chrom, CAST(sum(end_pos - beg) AS BIGINT) AS size FROM m GROUP BY chrom")
@@ -61,13 +61,13 @@ def point_outside(spark, sf_dir):
     return I.points_in(e, _intervals(spark, sf_dir), 64, how="left_anti").select("event_id")
 
 
-@plans.query(ctes("intervals") + " SELECT a.iid AS a, b.iid AS b FROM intervals a JOIN intervals b ON a.chrom = b.chrom AND a.beg < b.end_pos AND b.beg < a.end_pos WHERE a.iid % 3 = 0 AND b.iid % 3 = 1")
+@plans.query(ctes("intervals") + " SELECT a.iid AS a, b.iid AS b FROM intervals a JOIN intervals b ON a.chrom = b.chrom AND a.beg < b.end_pos AND b.beg < a.end_pos WHERE a.iid < b.iid")
 def interval_overlap(spark, sf_dir):
     """J16."""
     iv = _intervals(spark, sf_dir)
-    a = iv.filter("iid % 3 = 0").withColumnRenamed("iid", "a")
-    b = iv.filter("iid % 3 = 1").select("chrom", F.col("beg").alias("beg2"), F.col("end").alias("end2"), F.col("iid").alias("b"))
-    return I.overlapping(a, b, 64).select("a", "b")
+    a = iv.withColumnRenamed("iid", "a")
+    b = iv.select("chrom", F.col("beg").alias("beg2"), F.col("end").alias("end2"), F.col("iid").alias("b"))
+    return I.overlapping(a, b, 64).filter("a < b").select("a", "b")
 
 
 BAND = """e AS (SELECT concat('chr', CAST(user_id % 5 + 1 AS INT)) AS chrom, CASE WHEN event_id % 2 = 0 THEN 'p' ELSE 'm' END AS s, (event_id * 7) % 40000 // 10 * 10 AS b, CAST(round(abs(value) * 10) AS BIGINT) AS d FROM events WHERE round(abs(value) * 10) >= 5),
@@ -82,32 +82,32 @@ def tss_band_join(spark, sf_dir):
     return I.band(side(0, "bp", "dp"), side(1, "bm", "dm"), -50, 200, 100, 30).withColumnRenamed("end", "end_pos")
 
 
-MAP = "m AS (SELECT DISTINCT CAST(p_size % 3 AS INT) AS k, CAST(p_partkey * 10 AS BIGINT) AS x, CAST(p_partkey * 0.01 + p_size * 0.0001 AS DOUBLE) AS y FROM part)"
+MAP = "m AS (SELECT DISTINCT CAST(p_size % 3 AS INT) AS k, CAST(p_partkey * 10 AS BIGINT) AS x, CAST(p_partkey * 100 + p_size AS DOUBLE) / 10000 AS y FROM part)"
 
 
 @plans.query(f"""WITH {MAP}, p AS (SELECT l_orderkey, l_linenumber, l_suppkey, CAST(l_linenumber % 3 AS INT) AS k, l_partkey * 10 + l_suppkey % 10 AS x FROM lineitem), n AS (SELECT k, x AS x0, y AS y0, lead(x) OVER (PARTITION BY k ORDER BY x) AS x1, lead(y) OVER (PARTITION BY k ORDER BY x) AS y1 FROM m)
-SELECT p.l_orderkey, p.l_linenumber, p.l_suppkey, p.x, round(CASE WHEN p.x = x0 THEN y0 ELSE y0 + (p.x - x0) / (x1 - x0) * (y1 - y0) END, 6) AS y FROM p ASOF LEFT JOIN n ON p.k = n.k AND p.x >= n.x0""")
+SELECT p.l_orderkey, p.l_linenumber, p.l_suppkey, p.x, CASE WHEN p.x = x0 THEN y0 ELSE y0 + (p.x - x0) / (x1 - x0) * (y1 - y0) END AS y FROM p ASOF LEFT JOIN n ON p.k = n.k AND p.x >= n.x0""")
 def asof_interpolate(spark, sf_dir):
     """J17, W9, C22."""
-    m = table(spark, sf_dir, "part").select((F.col("p_size") % 3).cast("int").alias("k"), (F.col("p_partkey") * 10).alias("mx"), (F.col("p_partkey") * 0.01 + F.col("p_size") * 0.0001).alias("my")).distinct()
+    m = table(spark, sf_dir, "part").select((F.col("p_size") % 3).cast("int").alias("k"), (F.col("p_partkey") * 10).alias("mx"), ((F.col("p_partkey") * 100 + F.col("p_size")).cast("double") / 10000).alias("my")).distinct()
     p = table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") % 3).cast("int").alias("k"), "l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_partkey") * 10 + F.col("l_suppkey") % 10).alias("x"))
-    return I.interpolated(p, m, ["k"], "x", "mx", "my").select("l_orderkey", "l_linenumber", "l_suppkey", "x", F.round("y", 6).alias("y"))
+    return I.interpolated(p, m, ["k"], "x", "mx", "my", 4096).select("l_orderkey", "l_linenumber", "l_suppkey", "x", "y")
 
 
 @plans.query(f"""WITH {MAP}, r AS (SELECT CAST(s_suppkey % 3 AS INT) AS k, s_suppkey * 100 AS lo, s_suppkey * 100 + 50 AS hi, s_suppkey * 0.1 AS ylo, s_suppkey * 0.1 + 0.05 AS yhi FROM supplier)
 SELECT r.k, lo, hi, least(lo, min(CASE WHEN y > ylo - 0.5 THEN x END)) AS new_lo, greatest(hi, max(CASE WHEN y < yhi + 0.5 THEN x END)) AS new_hi FROM r JOIN m USING (k) GROUP BY r.k, lo, hi""")
 def map_extension(spark, sf_dir):
     """The inverse look-up."""
-    m = table(spark, sf_dir, "part").select((F.col("p_size") % 3).cast("int").alias("k"), (F.col("p_partkey") * 10).alias("x"), (F.col("p_partkey") * 0.01 + F.col("p_size") * 0.0001).alias("y")).distinct()
+    m = table(spark, sf_dir, "part").select((F.col("p_size") % 3).cast("int").alias("k"), (F.col("p_partkey") * 10).alias("x"), ((F.col("p_partkey") * 100 + F.col("p_size")).cast("double") / 10000).alias("y")).distinct()
     r = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 3).cast("int").alias("k"), (F.col("s_suppkey") * 100).alias("lo"), (F.col("s_suppkey") * 100 + 50).alias("hi"), (F.col("s_suppkey") * 0.1).alias("ylo"), (F.col("s_suppkey") * 0.1 + 0.05).alias("yhi"))
     return I.extended(r, m, ["k"], 0.5)
 
 
-@plans.query(ctes("intervals") + ", s AS (SELECT concat('chr', CAST(l_suppkey % 5 + 1 AS INT)) AS chrom, (l_orderkey * 13 + l_linenumber) % 100000 AS pos, l_quantity AS score FROM lineitem) SELECT i.chrom, i.beg, i.end_pos, round(avg(score), 6) AS mean, count(*) AS n FROM (SELECT DISTINCT chrom, beg, end_pos FROM intervals WHERE iid % 4 = 0) i JOIN s ON s.chrom = i.chrom AND s.pos >= i.beg AND s.pos < i.end_pos GROUP BY ALL")
+@plans.query(ctes("intervals") + ", s AS (SELECT concat('chr', CAST(l_suppkey % 5 + 1 AS INT)) AS chrom, (l_orderkey * 13 + l_linenumber) % 100000 AS pos, l_quantity AS score FROM lineitem) SELECT i.chrom, i.beg, i.end_pos, round(avg(score), 6) AS mean, count(*) AS n FROM (SELECT DISTINCT chrom, beg, end_pos FROM intervals) i JOIN s ON s.chrom = i.chrom AND s.pos >= i.beg AND s.pos < i.end_pos GROUP BY ALL")
 def region_means(spark, sf_dir):
     """A33, C37."""
     s = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("chr"), (F.col("l_suppkey") % 5 + 1).cast("int").cast("string")).alias("chrom"), ((F.col("l_orderkey") * 13 + F.col("l_linenumber")) % 100000).alias("pos"), F.col("l_quantity").alias("score"))
-    iv = _intervals(spark, sf_dir).filter("iid % 4 = 0").select("chrom", "beg", "end").distinct()
+    iv = _intervals(spark, sf_dir).select("chrom", "beg", "end").distinct()
     return I.region_mean(iv, s, 64).withColumn("mean", F.round("mean", 6)).withColumnRenamed("end", "end_pos")
 
 
@@ -207,11 +207,17 @@ def barcode_thresholds(spark, sf_dir):
     return N.threshold_counts(h, ["len"], "n", [1, 10, 100])
 
 
-@plans.query()
+@plans.query(f"""WITH {SEQ}, t AS (SELECT substr(seq, 1, 4) || CASE WHEN event_id % 2 = 0 THEN substr(seq, 6, 1) || 'TTTTTT' ELSE substr(seq, 6, 6) END AS seq FROM s), l AS (SELECT *, unnest([4, 5, 6]) AS len FROM t),
+h AS (SELECT CAST(len AS INT) AS len, substr(seq, 1, len) AS prefix, count(*) AS n, count_if(regexp_matches(substr(seq, len + 3, 8 - len), '^[TN ]*$')) AS c1 FROM l GROUP BY len, prefix),
+c AS (SELECT len - 1 AS len, substr(prefix, 1, len - 1) AS prefix, max(n) AS largest, sum(c1) AS k1, max({{'n': n, 'child': prefix}}).child AS main FROM h GROUP BY 1, 2),
+m AS (SELECT h.len, prefix, main, ((c1 + 0.5) - 0.5 * (k1 + 1)) / sqrt((k1 + 1) / 4) AS z FROM h JOIN c USING (len, prefix) WHERE c1 > 0.9 * k1 AND 0.9 * n >= largest)
+SELECT a.len, a.prefix, a.main, coalesce(b.main, a.main) AS resolved, round(a.z, 6) AS z FROM m a LEFT JOIN m b ON a.main = b.prefix AND b.z > 1 WHERE a.z > 1""")
 def barcode_merge(spark, sf_dir):
-    """Which prefixes collapse, and to what after following the chain; tests use a fixture."""
-    h = N.prefix_histogram(_seqs(spark, sf_dir), "seq", range(4, 7), 2, 2)
-    return N.collapsing_prefixes(h, z=-100.0, share=0.1)
+    """Which prefixes collapse (half of the reads have lost their last bases), and to what after following the chain."""
+    seq = F.concat(F.substring("seq", 1, 4), F.when(F.col("event_id") % 2 == 0, F.concat(F.substring("seq", 6, 1), F.lit("TTTTTT"))).otherwise(F.substring("seq", 6, 6)))
+    h = N.prefix_histogram(_seqs(spark, sf_dir).select("event_id", seq.alias("seq")), "seq", range(4, 7), 2, 2)
+    merged = N.collapsing_prefixes(h, z=1.0)
+    return merged.join(N.resolved(merged, "prefix", "main", 2).withColumnRenamed("main", "resolved"), "prefix")
 
 
 @plans.query(f"""WITH {SEQ}, b AS (SELECT DISTINCT substr(seq, 1, 5) AS code FROM s WHERE event_id % 40 = 0), n AS (SELECT code AS key, code, TRUE AS exact FROM b UNION ALL SELECT substr(code, 1, CAST(i - 1 AS BIGINT)) || c || substr(code, CAST(i + 1 AS BIGINT)), code, FALSE FROM b, range(1, 6) t(i), (VALUES ('A'), ('C'), ('G'), ('T'), ('N')) u(c)),
@@ -301,18 +307,41 @@ def cpg_flag(spark, sf_dir):
     return s.select("event_id", S.cpg(F.substring(seq, 4, 1), F.substring(seq, 5, 1), F.substring(seq, 6, 1)).alias("cpg"), F.length(aa).alias("n_codons"), (S.amino_acid(F.substring(seq, 1, 3)) == "*").alias("first_stop"))
 
 
-@plans.query()
+def _amino(bases: list[str]) -> str:
+    """The letter of a codon in SQL, by the bases' places in TCAG."""
+    i, j, k = (f"(strpos('TCAG', {b}) - 1)" for b in bases)
+    return f"substr('{S.AMINO_ACIDS}', CAST(16 * {i} + 4 * {j} + {k} + 1 AS BIGINT), 1)"
+
+
+def _kept(k: int) -> str:
+    """How many bases at place k of the codon c keep its amino acid; 0 if only one does."""
+    own = [f"c[{x + 1}]" for x in range(3)]
+    same = f"len(list_filter(['A', 'C', 'G', 'T'], lambda b: {_amino([*own[:k], 'b', *own[k + 1 :]])} = {_amino(own)}))"
+    return f"CASE WHEN {same} = 1 THEN 0 ELSE {same} END"
+
+
+@plans.query(f"WITH {SEQ} SELECT event_id, array_to_string(flatten(list_transform([substr(seq, 1, 3), substr(seq, 4, 3), substr(seq, 7, 3)], lambda c: [{_kept(0)}, {_kept(1)}, {_kept(2)}])), ',') AS degeneracy FROM s")
 def degeneracy(spark, sf_dir):
-    """Tests compare it with the genetic code."""
-    return _seqs(spark, sf_dir).select("event_id", S.degeneracies(F.col("seq")).alias("degeneracy"))
+    """X7."""
+    return _seqs(spark, sf_dir).select("event_id", F.array_join(S.degeneracies(F.col("seq")).cast("array<string>"), ",").alias("degeneracy"))
 
 
-@plans.query()
+SHIFTS = f"""WITH {SEQ}, p AS (SELECT seq, i, unnest([1, 2, 3]) AS j FROM (SELECT seq, unnest(range(0, length(seq))) AS i FROM s)),
+q AS (SELECT seq, i, j, coalesce(list_min(list_filter(range(0, 5), lambda k: i <= k OR seq[i - k] <> seq[i + j - k])), 5) + coalesce(list_min(list_filter(range(0, 5), lambda k: i + j + k >= length(seq) OR seq[i + j + k + 1] <> seq[i + k + 1])), 5) AS shift FROM p WHERE i + j < length(seq))"""
+
+
+@plans.query(SHIFTS + " SELECT CAST(j AS INT) AS j, CAST(shift AS INT) AS shift, count(*) AS n FROM q GROUP BY j, shift")
 def tandem_shift(spark, sf_dir):
-    """Tests compare it with plain Python."""
+    """By size."""
     return N.tandem_shifts(_seqs(spark, sf_dir), "seq", 3, 5)
 
 
+@plans.query(SHIFTS + " SELECT substr(seq, i + 1, j) AS motif, CAST(shift AS INT) AS shift, count(*) AS n FROM q GROUP BY 1, 2")
+def tandem_shift_alleles(spark, sf_dir):
+    """By deleted motif."""
+    return N.tandem_shifts(_seqs(spark, sf_dir), "seq", 3, 5, by_allele=True)
+
+
 @plans.query("SELECT n_nationkey, 'chr' || (n_nationkey % 22 + 1) AS chrom, CAST(n_nationkey * 1000 + 1 AS BIGINT) AS beg, CAST(n_nationkey * 2000 AS BIGINT) AS end_pos FROM nation WHERE n_nationkey > 0")
 def region_literals(spark, sf_dir):
     """X25, F5."""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandlake.plans import genotypes, ranges, sites, streams
+from strandlake.plans import formats, genotypes, ranges, sites, streams, values
 
-MODULES = (sites, genotypes, ranges, streams)
+MODULES = (sites, genotypes, ranges, streams, values, formats)
 
 
 def queries():

@@ -297,14 +297,16 @@ def ac_match_chances(spark, sf_dir):
     return s.withColumn("chance", F.round(F.least(F.lit(1.0), F.col("np") / F.col("nn")), 6))
 
 
-@plans.query()
+@plans.query(ctes("variants") + """, v AS (SELECT vorder, vline, filter, CAST(trunc(log10(ac) * 10 + 1e-12) AS INT) AS b FROM variants WHERE ac > 0), p AS (SELECT b, count(*) AS np FROM v WHERE filter = 'PASS' GROUP BY 1), q AS (SELECT b, count(*) AS nn FROM v WHERE filter <> 'PASS' GROUP BY 1)
+SELECT vorder, vline, b FROM v JOIN p USING (b) JOIN q USING (b) WHERE filter <> 'PASS' AND (vorder * 7919 + vline * 104729) % 1000003 / 1000003.0 < CAST(np AS DOUBLE) / nn""")
 def ac_matched_negatives(spark, sf_dir):
-    """The sample itself (a hash of the row decides; tests compare its size with the chances)."""
+    """The sample itself."""
+    draw = (F.col("vorder") * 7919 + F.col("vline") * 104729) % 1000003 / 1000003
     v = view(spark, sf_dir, "variants").filter("ac > 0").withColumn("b", variant.log_bin(F.col("ac")))
-    return A.matched_sample(v.filter("filter = 'PASS'"), v.filter("filter <> 'PASS'"), "b", ["vorder", "vline"]).select("vorder", "vline", "b")
+    return A.matched_sample(v.filter("filter = 'PASS'"), v.filter("filter <> 'PASS'"), "b", ["vorder", "vline"], draw=draw).select("vorder", "vline", "b")
 
 
-@plans.query()
+@plans.query("SELECT n_nationkey, n_name, row_number() OVER (ORDER BY n_nationkey * 7919 % 31, n_nationkey) AS place FROM nation")
 def shuffled_tasks(spark, sf_dir):
     """T11."""
-    return O.shuffled(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), ["n_nationkey"], 11)
+    return O.shuffled(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), ["n_nationkey"], 11, draw=F.col("n_nationkey") * 7919 % 31)
