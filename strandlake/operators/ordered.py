@@ -45,7 +45,8 @@ def genomic_sort(df: DataFrame, chrom: str = "chrom", beg: str = "pos", *more: s
     """By chromosome ordinal, then place."""
     from strandlake.functions.variant import chrom_ordinal
 
-    return df.orderBy(chrom_ordinal(F.col(chrom)), chrom, beg, *more)
+    # a column of its own: an expression in the order would be computed anew at each comparison
+    return df.withColumn("_ordinal", chrom_ordinal(F.col(chrom))).orderBy("_ordinal", chrom, beg, *more).drop("_ordinal")
 
 
 def listed_order(df: DataFrame, order: DataFrame, key: str, rank: str) -> DataFrame:
