@@ -181,3 +181,11 @@ def test_prefix_merge_follows_chains(spark):
     assert [r["prefix"] for r in counting.collapsing_prefixes(h).collect()] == ["AAAAAAAA"]
     m = spark.createDataFrame([("d", "c"), ("c", "b"), ("b", "a")], "k string, to string")
     assert dict(rows(counting.resolved(m, "k", "to"))) == {"b": "a", "c": "a", "d": "a"}
+
+
+def test_genomic_order_follows_ordinals(spark):
+    d = spark.createDataFrame([("chrX", 1), ("10", 5), ("chr2", 9), ("chr2", 3), ("odd", 1), ("chrM", 2), (None, 4)], "chrom string, pos long")
+    got = ordered.genomic_sort(d)
+    assert got.columns == ["chrom", "pos"]
+    known = [tuple(r) for r in got.collect() if r["chrom"] not in (None, "odd")]
+    assert known == [("chr2", 3), ("chr2", 9), ("10", 5), ("chrX", 1), ("chrM", 2)]
