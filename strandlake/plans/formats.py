@@ -255,3 +255,22 @@ def written_libsvm(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") % 2).alias("y"), (F.col("l_suppkey") % 3).alias("a"), (F.col("l_partkey") % 4).alias("b")).filter("a + b > 0")
     sinks.write_libsvm(li, "y", ["a", "b"], path)
     return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+@plans.query("SELECT 's' || p_partkey AS id, CAST(p_size % 22 + 1 AS VARCHAR) AS chrom, p_partkey * 10 AS pos, CASE WHEN p_size % 7 > 0 THEN p_size / 128.0 END AS maf, p_size * 2 AS n FROM part")
+def scan_bim_frq(spark, sf_dir):
+    """A .bim and the .frq beside it."""
+    p = table(spark, sf_dir, "part").select("p_size", F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("id"), (F.col("p_size") % 22 + 1).alias("chrom"), (F.col("p_partkey") * 10).alias("pos"))
+    bim = _lines(p, "chrom", "id", F.lit(0), "pos", F.lit("A"), F.lit("C"))
+    maf = F.when(F.col("p_size") % 7 > 0, (F.col("p_size") / 128).cast("string")).otherwise("NA")
+    frq = _lines(p, F.concat(F.lit(" "), F.col("chrom").cast("string")), "id", F.lit("A"), F.lit("C"), maf, F.col("p_size") * 2, sep="   ")
+    return text.site_frequencies(spark, bim, frq).select("id", "chrom", "pos", "maf", F.col("n").cast("long").alias("n"))
+
+
+@plans.query("SELECT n_nationkey AS k, n_name AS name FROM nation WHERE n_regionkey < 3")
+def scan_numbered(spark, sf_dir):
+    """Numbered parts of one table, up to the first that is missing."""
+    prefix, n = new_path(spark, "part"), table(spark, sf_dir, "nation")
+    for i, region in ((1, 0), (2, 1), (3, 2), (5, 3)):
+        _lines(n.filter(F.col("n_regionkey") == region), "n_nationkey", "n_name", path=f"{prefix}{i:03d}.tsv")
+    return text.delimited(spark, text.numbered(spark, prefix, ".tsv"), "k long, name string")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from statistics import NormalDist
-
-import pandas as pd
 from pyspark.sql import functions as F
 
 from strandlake.functions import genotype as G
@@ -279,19 +276,31 @@ def svm_filter_rules(spark, sf_dir):
     return v.select("vorder", "vline", classify.generic_rules(score, F.col("ac"), cen, F.col("vline") == 2, ex, 2.0).alias("generic"), classify.external_rules(F.col("filter"), score, F.col("ac"), cen, ex, 2.0).alias("ext"))
 
 
-def _normal_share(z: pd.Series) -> pd.Series:
-    return z.map(NormalDist().cdf)
+def _horner(x: str, cs: list[float]) -> str:
+    out = repr(cs[0])
+    for c in cs[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+def _probit(p: str) -> str:
+    """The normal quantile of a column of chances, in SQL."""
+    t = f"sqrt(-2 * ln(least({p}, 1 - {p})))"
+    q = f"({p} - 0.5::DOUBLE)"
+    tail = f"{_horner(t, classify._C)} / ({_horner(t, classify._D)} * {t} + 1)"
+    mid = f"{_horner(f'({q} * {q})', classify._A)} * {q} / ({_horner(f'({q} * {q})', classify._B)} * {q} * {q} + 1)"
+    return f"CASE WHEN {p} < 0.02425 THEN {tail} WHEN {p} > 1 - 0.02425 THEN -({tail}) ELSE {mid} END"
 
 
-@plans.query(ctes("variants") + """, c AS (SELECT ac AS v, count(*) AS n FROM variants GROUP BY ac), r AS (SELECT v, n, sum(n) OVER (ORDER BY v) - (n - 1) / 2.0 AS rank, sum(n) OVER () AS total FROM c) SELECT v AS ac, n, round((rank - 0.5) / total, 6) AS p FROM r""")
+@plans.query(ctes("variants") + f""", c AS (SELECT ac AS v, count(*) AS n FROM variants GROUP BY ac),
+r AS (SELECT v, n, sum(n) OVER (ORDER BY v) - (n - 1) / 2.0 AS rank, sum(n) OVER () AS total FROM c),
+p AS (SELECT v, n, CAST((rank - 0.5) / total AS DOUBLE) AS p FROM r)
+SELECT v AS ac, n, round({_probit("p")}, 6) + 0.0 AS z FROM p""")
 def quantile_ranks(spark, sf_dir):
-    """The ranks behind the inverse-normal transform, inverted again by the normal's distribution."""
+    """The normal quantiles of mean ranks."""
     v = view(spark, sf_dir, "variants").select("ac")
     out = classify.inverse_normal(v, ["ac"]).groupBy("ac").agg(F.count("*").alias("n"), F.first("ac_norm").alias("z"))
-    # the distribution by its error function's series isn't built in: ranks come back through the mean rank
-    cdf = F.pandas_udf(_normal_share, "double")
-
-    return out.select("ac", "n", F.round(cdf("z"), 6).alias("p"))
+    return out.select("ac", "n", (F.round("z", 6) + F.lit(0.0)).alias("z"))
 
 
 @plans.query()
@@ -304,6 +313,29 @@ def svm_generic_filter(spark, sf_dir):
     return scored.select("vorder", "vline", F.round("score", 6).alias("score"), rules.alias("filter"))
 
 
+@plans.query()
+def svm_family_filter(spark, sf_dir):
+    """M8: negatives by discordance; X has a model of its own. Weaker check: rows and columns."""
+    v = view(spark, sf_dir, "variants").withColumn("score_a", F.col("ac").cast("double")).withColumn("score_b", (F.col("pos") % 97).cast("double"))
+    disc, cen, x = F.col("vorder") % 11, F.col("vorder") % 9 == 0, F.col("chrom") == "chr22"
+    negative = classify.negatives_by_discordance(F.col("ac"), disc, F.col("ac"), F.lit(True), cen)
+    rows = v.withColumn("label", F.when(negative, -1).when(F.col("vorder") % 5 == 0, 1))
+    scored = classify.svm_scores_apart(rows, ["score_a", "score_b"], "label", [x, ~x], features=32, iterations=10)
+    rules = classify.milk_rules(F.col("score"), F.col("ac"), cen, disc > 8, F.lit(0.0), F.lit(0.0), x)
+    return scored.select("vorder", "vline", F.round("score", 6).alias("score"), rules.alias("filter"))
+
+
+@plans.query()
+def svm_external_filter(spark, sf_dir):
+    """M9: negatives from another call set's FILTER, and the chance that a site is good. Weaker check:
+    rows and columns."""
+    v = view(spark, sf_dir, "variants").withColumn("score_a", F.col("ac").cast("double")).withColumn("score_b", (F.col("pos") % 97).cast("double"))
+    rows = v.withColumn("label", F.when(F.col("filter").contains("SVM"), -1).when(F.col("vorder") % 5 == 0, 1))
+    scored = classify.with_probability(classify.svm_scores(rows, ["score_a", "score_b"], "label", features=32, iterations=10), "label")
+    rules = classify.external_rules(F.col("filter"), F.col("score"), F.col("ac"), F.lit(False), F.lit(0.0))
+    return scored.select("vorder", "vline", F.round("score", 6).alias("score"), F.round("probability", 6).alias("probability"), rules.alias("ext"))
+
+
 @plans.query(ctes("variants") + """, w AS (SELECT DISTINCT a || b || c AS kmer, CAST(ascii(a) * 3 + ascii(b) * 5 + ascii(c) * 3 - 500 AS DOUBLE) AS weight FROM (VALUES ('A'),('C'),('G'),('T')) x(a), (VALUES ('A'),('C'),('G'),('T')) y(b), (VALUES ('A'),('C'),('G'),('T')) z(c)),
 b AS (SELECT kmer, max(weight) AS weight FROM (SELECT kmer, weight FROM w UNION ALL SELECT reverse(translate(kmer, 'ACGT', 'TGCA')), weight FROM w) GROUP BY kmer),
 s AS (SELECT vorder, vline, pos, sign, 'AC' || allele || 'GT' AS seq, length(allele) AS la FROM (SELECT vorder, vline, pos, unnest([{'sign': -1, 'allele': ref}, {'sign': 1, 'allele': alt}], recursive := true) FROM (SELECT DISTINCT vorder, vline, pos, ref, alt FROM variants))),
@@ -332,3 +364,30 @@ def pca_projection(spark, sf_dir):
     m = li.select(F.col("l_orderkey").alias("row"), F.concat_ws(":", F.col("l_suppkey").cast("string"), F.col("l_linenumber").cast("string")).alias("c"), F.col("l_quantity").alias("v"))
     w = li.select(F.concat_ws(":", F.col("l_suppkey").cast("string"), F.col("l_linenumber").cast("string")).alias("c"), (F.col("l_linenumber") % 3).alias("axis"), (F.col("l_suppkey") % 5).alias("w")).distinct()
     return classify.project(m, w, "row", "c", "v", "axis", "w").withColumn("score", F.round("score", 4))
+
+
+CELLS = "SELECT l_suppkey AS cell, l_partkey % 50 AS gene, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2"
+
+
+def _normalised(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("cell"), (F.col("l_partkey") % 50).alias("gene"))
+    return classify.log_normalised(li.agg(F.sum("l_quantity").cast("double").alias("v")), "cell", "v")
+
+
+@plans.query(f"""WITH c AS ({CELLS}), n AS (SELECT gene, ln(1 + v / sum(v) OVER (PARTITION BY cell) * 10000) AS x, (SELECT count(DISTINCT cell) FROM c) AS cells FROM c),
+s AS (SELECT gene, sum(x) / max(cells) AS mean, sum(x) AS s, sum(x * x) AS q, max(cells) AS cells FROM n GROUP BY gene)
+SELECT gene, round(mean, 5) AS mean, round((q - s * mean) / (cells - 1), 5) AS var, round((q - s * mean) / (cells - 1) / mean, 5) AS dispersion FROM s""")
+def variable_genes(spark, sf_dir):
+    """Log-normalised counts, and the genes' dispersion."""
+    m = _normalised(spark, sf_dir)
+    stats = classify.variable_rows(m, "gene", "norm", m.select("cell").distinct().count())
+    return stats.select("gene", *[F.round(c, 5).alias(c) for c in ("mean", "var", "dispersion")])
+
+
+@plans.query()
+def cell_axes(spark, sf_dir):
+    """Cells on the first axes of the ten most variable genes. Weaker check: the axes' signs are free."""
+    m = _normalised(spark, sf_dir)
+    stats = classify.variable_rows(m, "gene", "norm", m.select("cell").distinct().count())
+    top = [r["gene"] for r in stats.orderBy(F.desc("dispersion"), "gene").limit(10).collect()]
+    return classify.principal_axes(m, top, "gene", "cell", "norm", 3).select("cell", F.round(F.abs(F.col("pc")[0]), 4).alias("pc1"), F.round(F.abs(F.col("pc")[1]), 4).alias("pc2"))

@@ -1,4 +1,5 @@
-"""Streams over the events table, run to their end; complete mode, so that batch SQL gives the same."""
+"""Streams over the events table, run to their end: complete mode where whole tables are compared, append
+mode where rows are final once written."""
 
 from __future__ import annotations
 
@@ -43,20 +44,32 @@ def stream_session(spark, sf_dir):
     return _plain(E.run_available(E.sessions(_events(spark, sf_dir), "30 minutes", ["user_id"]), "complete"))
 
 
-@plans.query("SELECT DISTINCT user_id, event_type FROM events")
+@plans.query("SELECT DISTINCT user_id, event_type, time_bucket(INTERVAL '1 day', ts) AS start FROM events")
 def stream_dedup(spark, sf_dir):
-    """One event of each user and kind (the watermark is wider than the table)."""
-    return _plain(E.run_available(E.deduplicated(_events(spark, sf_dir), ["user_id", "event_type"], "10000 days"))).select("user_id", "event_type")
+    """One event of each user and kind a day; append mode, so that closed days are forgotten."""
+    return _plain(E.run_available(E.deduplicated(_events(spark, sf_dir), ["user_id", "event_type"], "1 day")))
 
 
-@plans.query("SELECT time_bucket(INTERVAL '30 minutes', ts) AS start, CAST(count_if(event_id % 2 = 0) AS BIGINT) AS d_fwd, CAST(count_if(event_id % 2 = 1) AS BIGINT) AS d_rev FROM events GROUP BY 1")
+CLOSED = 100
+
+
+@plans.query(f"""WITH r AS (SELECT event_id // 100000 + 1 AS chrom_no, event_id % 100000 // 3 + 1 AS pos, event_type IN ('click', 'view') AS fwd FROM events),
+top AS (SELECT max(chrom_no * 4294967296 + pos) - {CLOSED} AS open FROM r)
+SELECT chrom_no, pos, CAST(count_if(fwd) AS BIGINT) AS d_fwd, CAST(count_if(NOT fwd) AS BIGINT) AS d_rev FROM r, top WHERE chrom_no * 4294967296 + pos + 1 <= open GROUP BY chrom_no, pos""")
 def stream_pileup(spark, sf_dir):
-    """Z1."""
-    return _plain(E.run_available(E.pileup(_events(spark, sf_dir), "30 minutes"), "complete")).drop("users")
+    """Events as reads sorted by position; piles of all places that the watermark has closed."""
+    e = F.col("event_id")
+    strand = F.when(F.col("event_type").isin("click", "view"), "+").otherwise("-")
+    reads = E.source(spark, sf_dir, "events").select(F.floor(e / 100000).alias("_c"), e, strand.alias("strand"))
+    reads = reads.select((F.col("_c") + 1).alias("chrom_no"), (F.floor(e % 100000 / 3) + 1).alias("pos"), "strand")
+    return E.run_available(E.pileup(reads, CLOSED))
 
 
-@plans.query("SELECT a.user_id, a.event_id AS left_id, b.event_id AS right_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL '10 minutes' WHERE a.event_id % 2 = 0 AND b.event_id % 2 = 1")
+@plans.query("""SELECT a.user_id, a.event_id AS left_id, b.event_id AS right_id FROM events a
+JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL '10 minutes'
+WHERE a.event_id % 2 = 0 AND b.event_id % 2 = 1""")
 def stream_join(spark, sf_dir):
-    """Z3."""
+    """Z3: even events with odd ones of the same user up to 10 minutes later; both sides' rows are
+    forgotten once the watermarks (an hour late) have passed what they could meet."""
     e = _events(spark, sf_dir)
-    return _plain(E.run_available(E.joined(e.filter("event_id % 2 = 0"), _events(spark, sf_dir).filter("event_id % 2 = 1"), "user_id", "10 minutes", "10000 days")))
+    return _plain(E.run_available(E.joined(e.filter("event_id % 2 = 0"), _events(spark, sf_dir).filter("event_id % 2 = 1"), "user_id", "10 minutes")))

@@ -252,3 +252,21 @@ def key_key_value(spark: SparkSession, path) -> DataFrame:
 def wide_report(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row a file with a column for each key named."""
     return rows.groupBy("path").agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in keys])
+
+
+def site_frequencies(spark: SparkSession, bim, frq) -> DataFrame:
+    """Sites of a .bim with the frequencies of its .frq. Both list the same sites in one order; they
+    are joined on the site's id, so that neither has to be read in order. Frequency NA is null."""
+    b = whitespace(spark, bim, ["chrom", "id", "cm", "pos", "a1", "a2"]).select("chrom", F.col("pos").cast("long").alias("pos"), "id", "a1", "a2")
+    f = whitespace(spark, frq, ["_c", "id", "_a1", "_a2", "maf", "n"]).filter("_c != 'CHR'")
+    return b.join(f.select("id", F.col("maf").try_cast("double").alias("maf"), F.col("n").try_cast("long").alias("n")), "id")
+
+
+def numbered(spark: SparkSession, prefix: str, suffix: str, digits: int = 3) -> list[str]:
+    """The files prefix001suffix, prefix002suffix, ... up to the first number that is missing."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(prefix).getFileSystem(spark._jsc.hadoopConfiguration())
+    out: list[str] = []
+    while fs.exists(fs_path(name := f"{prefix}{len(out) + 1:0{digits}d}{suffix}")):
+        out.append(name)
+    return out

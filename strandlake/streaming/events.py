@@ -40,15 +40,27 @@ def sessions(events: DataFrame, gap: str, keys: list[str], late: str = "1 hour")
     return w.agg(F.count("*").alias("n")).select(*keys, F.col("s.start").alias("start"), F.col("s.end").alias("end_ts"), "n")
 
 
-def deduplicated(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
-    """The first event of each key; keys are forgotten when the watermark has passed them."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+def deduplicated(events: DataFrame, keys: list[str], width: str, late: str = "1 hour") -> DataFrame:
+    """One row of each key a tile; a tile's keys are forgotten when the watermark has passed it."""
+    w = events.withWatermark("ts", late).select(*keys, F.window("ts", width).alias("window"))
+    return w.dropDuplicates([*keys, "window"]).select(*keys, F.col("window.start").alias("start"))
 
 
-def pileup(events: DataFrame, width: str, late: str = "1 hour") -> DataFrame:
-    """By tile the reads of either kind; a tile is emitted when the watermark closes it."""
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", width))
-    return w.agg(F.count_if(F.col("event_id") % 2 == 0).alias("d_fwd"), F.count_if(F.col("event_id") % 2 == 1).alias("d_rev"), F.approx_count_distinct("user_id").alias("users")).select(F.col("window.start").alias("start"), "d_fwd", "d_rev", "users")
+#: Bits of a place within its chromosome; chromosomes follow one another on one scale.
+PLACE_BITS = 32
+
+
+def pileup(reads: DataFrame, within: int = 1000) -> DataFrame:
+    """By place the reads of either strand, of a position-sorted stream of chrom_no, pos, strand.
+
+    The genome is the stream's clock, a second a base. Places more than ``within`` bases behind the
+    furthest read are closed: written once, and forgotten."""
+    at = F.timestamp_seconds(F.shiftleft(F.col("chrom_no").cast("long"), PLACE_BITS) + F.col("pos"))
+    w = reads.withColumn("_at", at).withWatermark("_at", f"{within} seconds").groupBy(F.window("_at", "1 second"))
+    place = F.unix_seconds(F.col("window.start"))
+    low = F.lit((1 << PLACE_BITS) - 1)
+    piles = w.agg(F.count_if(F.col("strand") == "+").alias("d_fwd"), F.count_if(F.col("strand") == "-").alias("d_rev"))
+    return piles.select(F.shiftright(place, PLACE_BITS).alias("chrom_no"), place.bitwiseAND(low).alias("pos"), "d_fwd", "d_rev")
 
 
 def joined(left: DataFrame, right: DataFrame, key: str, within: str, late: str = "1 hour") -> DataFrame:

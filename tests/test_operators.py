@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from statistics import NormalDist
 
 import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from strandlake.functions import genotype, sequence, variant
@@ -189,3 +191,53 @@ def test_genomic_order_follows_ordinals(spark):
     assert got.columns == ["chrom", "pos"]
     known = [tuple(r) for r in got.collect() if r["chrom"] not in (None, "odd")]
     assert known == [("chr2", 3), ("chr2", 9), ("10", 5), ("chrX", 1), ("chrM", 2)]
+
+
+def test_inverse_normal_equals_the_quantile(spark):
+    values = [3.0, 1.0, 1.0, 7.0, 5.0, 5.0, 5.0, 9.0]
+    got = dict(classify.inverse_normal(spark.createDataFrame([(v,) for v in values], "x double"), ["x"]).distinct().collect())
+    for v, z in got.items():
+        rank = sum(x < v for x in values) + (sum(x == v for x in values) + 1) / 2
+        assert abs(z - NormalDist().inv_cdf((rank - 0.5) / len(values))) < 1e-7
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 50), st.integers(-40, 40)), max_size=12), st.lists(st.tuples(st.integers(0, 50), st.integers(-40, 40)), min_size=1, max_size=6))
+def test_map_extension_equals_the_product(spark, points, regions):
+    """Maps that don't grow with x, ties and regions beyond the map's ends as well."""
+    m = spark.createDataFrame([("a", x, y / 8) for x, y in points], "k string, x long, y double")
+    r = spark.createDataFrame([("a", lo, lo + 3, y / 8, y / 8 + 0.5) for lo, y in regions] + [("b", 1, 2, None, 0.0)], "k string, lo long, hi long, ylo double, yhi double")
+    want = [("a", lo, lo + 3, min([lo, *(x for x, v in points if v > y - 4)]), max([lo + 3, *(x for x, v in points if v < y + 8)])) for lo, y in regions]
+    assert rows(intervals.extended(r, m, ["k"], 0.5, 1.0)) == sorted([*want, ("b", 1, 2, 1, 2)])
+
+
+def test_streams_drop_late_rows(spark, tmp_path):
+    """The last file's first row comes days behind the first file's last: its tile is closed. Rows are late
+    from the batch on that follows the one which moved the watermark."""
+    import os
+
+    from strandlake.streaming import events as E
+
+    for i, ids in enumerate(([0, 9000], [9001], [10, 9002])):
+        df = spark.createDataFrame([(k, "u") for k in ids], "event_id long, user string").withColumn("ts", F.timestamp_seconds(F.col("event_id") * 60))
+        df.toPandas().astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / f"events.parquet{i}")
+        os.utime(tmp_path / f"events.parquet{i}", (1_000_000 + i * 100, 1_000_000 + i * 100))
+    schema = spark.read.parquet(str(tmp_path / "events.parquet0")).schema
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    per_id = rows(E.run_available(E.deduplicated(stream(), ["event_id"], "1 hour")).select("event_id"))
+    assert per_id == [(0,), (9000,), (9001,), (9002,)]
+    reads = stream().select(F.lit(1).alias("chrom_no"), F.col("event_id").alias("pos"), F.lit("+").alias("strand"))
+    # 10 comes late, the last places are still open
+    assert rows(E.run_available(E.pileup(reads, 100))) == [(1, 0, 1, 0)]
+
+
+def test_principal_axes_equal_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 5, (20, 4)).astype(float)
+    m = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(20) for j in range(4) if x[i, j]], "cell long, gene long, v double")
+    got = {r["cell"]: r["pc"] for r in classify.principal_axes(m, [0, 1, 2, 3], "gene", "cell", "v", 2).collect()}
+    axes = np.linalg.svd(x - x.mean(0))[2][:2]
+    for i in range(20):
+        assert np.allclose(np.abs(x[i] @ axes.T), np.abs(got[i]), atol=1e-8)

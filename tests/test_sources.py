@@ -122,3 +122,10 @@ def test_idat_and_cel(spark, tmp_path):
     assert binary.parse_cel(cel) == [(0, 0, 5.5, 1.2, 3), (1, 0, 6.0, 2.0, 4)]
     assert binary.parse_cel(b"[HEADER]\nCols=2\n[INTENSITY]\nNumberCells=1\nCellHeader=X\n 0 1 5.0 1.0 9\n") == [(0, 1, 5.0, 1.0, 9)]
     assert rows(binary.cel(spark, put(tmp_path / "a.cel", cel)).drop("path"))[0] == (0, 0, 5.5, 1.2, 3)
+
+
+def test_numbered_files_stop_at_the_first_gap(spark, tmp_path):
+    for i in (1, 2, 4):
+        put(tmp_path / f"p{i:03d}.tsv", f"{i}\n")
+    assert [f[-8:] for f in text.numbered(spark, f"{tmp_path}/p", ".tsv")] == ["p001.tsv", "p002.tsv"]
+    assert text.numbered(spark, f"{tmp_path}/q", ".tsv") == []
