@@ -77,26 +77,10 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-_caches: dict[str, dict] = {}
-
-
-def cache(owner: str) -> dict:
-    """What ``owner`` keeps in this worker from task to task. The others' caches are dropped: workers
-    outlive a query's stages, and what each operator keeps would add up."""
-    others = [name for name in _caches if name != owner]
-    for name in others:
-        del _caches[name]
-    if others:
-        _trim()
-    return _caches.setdefault(owner, {})
-
-
-def released(run, owner: str = ""):
+def released(run):
     """``run`` over batches, after each of which memory that is no longer used goes back to the system:
-    workers are kept from stage to stage, and what allocators hold would add up. Of the caches only
-    ``owner``'s stays."""
+    workers are kept from stage to stage, and what allocators hold would add up."""
     def own(batches):
-        cache(owner)
         for out in run(batches):
             yield out
             del out

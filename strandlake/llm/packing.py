@@ -92,12 +92,14 @@ class Words(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+_loaded: dict[str, Words] = {}
+
+
 def loaded(path: str) -> Words:
-    own = B.cache("packing")
-    if path not in own:
-        own.clear()
-        own[path] = Words(path)
-    return own[path]
+    if path not in _loaded:
+        _loaded.clear()
+        _loaded[path] = Words(path)
+    return _loaded[path]
 
 
 def joined_crc(a: int, b: int, length_b: int) -> int:
@@ -129,7 +131,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
                     rows += [(doc_id, s, n, crc, len(ids) // 4, units) for s, n, crc, units in pieces(ids)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(B.released(run, "packing"), PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(B.released(run), PIECES)
 
 
 def balance(lengths: list[int], length: int = LENGTH, unit: int = UNIT, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int, int]]:
@@ -170,7 +172,6 @@ def packed(docs: DataFrame, path: str | None = None, length: int = LENGTH, block
     blocks = max(1, rest.count() // block)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        B.cache("")  # ids are made by now
         pdf = pdf.sort_values("_n", ignore_index=True)
         base = int(pdf["_block"].iloc[0]) << 32
         doc, start, size, total, crcs = (pdf[c].tolist() for c in ("doc_id", "start", "length", "doc_tokens", "unit_crcs"))

@@ -355,17 +355,6 @@ def test_walks_of_any_length_end(spark, monkeypatch):
     assert got == [sharding.place(x, n, 1)[1] for x in range(n)] and sorted(got) == list(range(n))
 
 
-def test_workers_keep_one_operators_cache():
-    from strandlake.llm import bytewords
-
-    words = packing.loaded(packing.vocabulary_path())
-    assert packing.loaded(packing.vocabulary_path()) is words  # kept from task to task
-    list(bytewords.released(lambda batches: batches, "packing")([1]))
-    assert packing.loaded(packing.vocabulary_path()) is words
-    list(bytewords.released(lambda batches: batches)([1]))  # another operator's function
-    assert packing.loaded(packing.vocabulary_path()) is not words
-
-
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
