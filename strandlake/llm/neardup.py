@@ -159,12 +159,18 @@ def shingled(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(B.released(run), "node long, s binary, w binary, sig binary")
 
 
-def verified(pairs: DataFrame, held: DataFrame, limit: float = LIMIT) -> DataFrame:
-    """Those of ``pairs`` (u, v; distinct) whose similarity is ``limit`` or more. ``held``: node, s, w."""
+def _sent(table: DataFrame, most_keys: int) -> DataFrame:
+    """A written table of ids, broadcast while it has no more than ``most_keys`` rows: what it meets isn't dealt out."""
+    return F.broadcast(table) if table.count() <= most_keys else table
+
+
+def verified(pairs: DataFrame, held: DataFrame, limit: float = LIMIT, most_keys: int = MOST_KEYS) -> DataFrame:
+    """Those of ``pairs`` (u, v; distinct; a written table) whose similarity is ``limit`` or more. ``held``: node, s, w."""
+    near = F.broadcast if pairs.count() <= most_keys else lambda x: x
     many = pairs.groupBy("u").agg(F.ceil(F.count("*") / SHARE).cast("long").alias("parts"))
-    dealt = pairs.join(many, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")))
-    right = dealt.join(held.select(F.col("node").alias("v"), "s", "w"), "v").select("u", "part", "v", "s", "w")
-    heads = dealt.select("u", "part").distinct().join(held.select(F.col("node").alias("u"), "s", "w"), "u").select("u", "part", F.lit(None).cast("long").alias("v"), "s", "w")
+    dealt = pairs.join(near(many), "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts"))).drop("parts")
+    right = held.select(F.col("node").alias("v"), "s", "w").join(near(dealt), "v").select("u", "part", "v", "s", "w")
+    heads = held.select(F.col("node").alias("u"), "s", "w").join(near(dealt.select("u", "part").distinct()), "u").select("u", "part", F.lit(None).cast("long").alias("v"), "s", "w")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, key = None, None
@@ -213,13 +219,14 @@ def _partners(most: int):
     return pick
 
 
-def _across(members: DataFrame, held: DataFrame, roots: DataFrame, pick) -> DataFrame:
+def _across(members: DataFrame, held: DataFrame, roots: DataFrame, pick, most_keys: int = MOST_KEYS) -> DataFrame:
     """Pairs to verify between components that share buckets, as ``pick`` chooses them in each block; and
-    (-1, band) of each bucket that has more.
+    (-1, band) for blocks of each bucket that has more.
 
     A pair is only looked at in the first band that it shares, so no pair comes twice."""
-    marked = members.join(roots, "node", "left").select("b", "band", "node", F.coalesce("root", "node").alias("root"))
+    marked = members.join(_sent(roots, most_keys), "node", "left").select("b", "band", "node", F.coalesce("root", "node").alias("root"))
     open_ = marked.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("z"), F.count("*").alias("n")).filter("a != z").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    open_ = _sent(staged(open_, "open"), most_keys)
     # a bucket of several blocks is compared block by block: each node goes to the blocks' pairs it is in
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = marked.join(open_, "band").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -264,7 +271,7 @@ def _across(members: DataFrame, held: DataFrame, roots: DataFrame, pick) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     blocks = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
-    return blocks.mapInArrow(B.released(run), "u long, v long").distinct()
+    return blocks.mapInArrow(B.released(run), "u long, v long")
 
 
 def _with_end(items: Iterator) -> Iterator:
@@ -272,6 +279,18 @@ def _with_end(items: Iterator) -> Iterator:
     yield None
 
 
+def widened(roots: DataFrame, more: DataFrame, most_keys: int = MOST_KEYS) -> DataFrame:
+    """``roots`` as ``components`` gives them, after the links ``more`` (u, v): only the components that these
+    join are put together anew."""
+    known = _sent(roots, most_keys)
+    ends = more.join(known.toDF("u", "a"), "u", "left").join(known.toDF("v", "b"), "v", "left")
+    top = components(ends.select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v")))
+    moved = top.select(F.col("node").alias("root"), F.col("root").alias("least"))
+    # a component of any size may move: its rows aren't dealt by root
+    met = roots.join(F.broadcast(moved), "root", "left") if top.count() <= most_keys else joined(roots, moved, ["root"], "left")
+    return staged(met.select("node", F.coalesce("least", "root").alias("root")).unionByName(top), "roots")
+
+
 def grouped(docs: DataFrame, limit: float = LIMIT, most_keys: int = MOST_KEYS) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text) -> (doc_id, digest, mid) of every row, and for every digest: how many rows have
     it (n), the size of its class and the class' first row (by doc_id, nulls last, and mid)."""
@@ -288,21 +307,18 @@ def grouped(docs: DataFrame, limit: float = LIMIT, most_keys: int = MOST_KEYS) -
     near = F.broadcast(keys) if keys.count() <= most_keys else keys
     held = staged(shingled(rows.join(near, "digest").dropDuplicates(["node"]).select("node", "text")), "shingles")
     stars = members.filter("node != centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
-    links = staged(verified(staged(stars, "stars"), held, limit), "links")
-    roots = components(links)
+    roots = components(staged(verified(staged(stars, "stars"), held, limit, most_keys), "links"))
     # medoids only spare partners' pairs, so a few bands are enough for them; partners go through all
-    tried = staged(_across(members.filter(F.col("b") < MEDOID_BANDS), held, roots, _medoids), "across")
+    tried = staged(_across(members.filter(F.col("b") < MEDOID_BANDS), held, roots, _medoids, most_keys), "across")
     if not tried.isEmpty():
-        links = staged(links.unionByName(verified(tried, held, limit)), "links")
-        roots = components(links)
+        roots = widened(roots, staged(verified(tried, held, limit, most_keys), "near"), most_keys)
     most, left = 1, members
     while True:  # until no candidate between components is left: more partners a round, none verified twice
-        found = staged(_across(left, held, roots, _partners(most)), "across")
+        found = staged(_across(left, held, roots, _partners(most), most_keys), "across")
         new = staged(found.filter("u >= 0").join(tried, ["u", "v"], "left_anti"), "partners")
-        near = staged(verified(new, held, limit), "near")
+        near = staged(verified(new, held, limit, most_keys), "near")
         if not near.isEmpty():
-            links = staged(links.unionByName(near), "links")
-            roots = components(links)
+            roots = widened(roots, near, most_keys)
         tried, most = tried.unionByName(new), GROWTH * most
         # a bucket that had no more than these has all its candidates verified
         more = found.filter("u < 0").select(F.col("v").alias("band"))

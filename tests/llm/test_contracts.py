@@ -209,6 +209,23 @@ def test_groups_around_the_limit_lose_no_link(spark, monkeypatch, medoids):
     assert {r.doc_id: r.class_id for r in got} == {i: own[up[k]][0] for k, (i, _) in enumerate(own)}
 
 
+def test_further_links_only_join_the_components_they_meet(spark, monkeypatch):
+    from strandlake.operators import graph
+
+    rng = random.Random(5)
+    first = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)]
+    more = [(rng.randrange(320), rng.randrange(320)) for _ in range(40)] + [first[0]]
+    frame = lambda e: spark.createDataFrame(e, "u long, v long")
+    want = dict(map(tuple, graph.components(frame(first + more)).collect()))
+    roots = graph.components(frame(first))
+    seen, keep = [], neardup.components
+    monkeypatch.setattr(neardup, "components", lambda edges: seen.append(edges.count()) or keep(edges))
+    for most_keys in (neardup.MOST_KEYS, 0):
+        got = [tuple(r) for r in neardup.widened(roots, frame(more), most_keys).collect()]
+        assert dict(got) == want and len(got) == len(want)
+    assert seen == [len(more)] * 2
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(2)
     s = np.sort(neardup.B.mix(np.arange(1, 301, dtype=np.uint64)))

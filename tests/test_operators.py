@@ -116,6 +116,14 @@ def test_components_of_chains_and_stars(spark):
     assert got == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 30)}
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    written, keep = [], graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df, label: written.append(label) or keep(df, label))
+    edges = [(100 * c, 100 * c + i) for c in range(5) for i in range(1, 20)]
+    got = dict(rows(graph.components(spark.createDataFrame(edges, "u long, v long"))))
+    assert got == {v: u for u, v in edges} and len(written) == 1
+
+
 def test_pedigree(spark):
     edges = spark.createDataFrame([(1, 2, "PO"), (1, 3, "PO"), (4, 5, "PO"), (4, 6, "PO"), (5, 6, "FS"), (1, 9, "DUP")], "id1 long, id2 long, rel string")
     sexes = spark.createDataFrame([(i, 1 + i % 2) for i in range(1, 10)], "id long, sex int")
