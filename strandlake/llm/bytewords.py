@@ -11,8 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
+SMALL_BYTES = 1 << 18  # where many arrays of eight bytes a place are held at once
 _BASE = 0x9E3779B97F4A7C0B  # 3 modulo 8: neighbouring powers differ in nearly all bits
 _U = np.uint64
 
@@ -49,7 +51,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, for at least n places."""
     have = _powers.get(0)
     if have is None or len(have[0]) < n:
-        size = max(n, SLICE_BYTES + (1 << 16))
+        size = n if n > 4 * SLICE_BYTES else 1 << max(n - 1, SMALL_BYTES).bit_length()
         inv = pow(_BASE, -1, 1 << 64)
         made = []
         for base in (_BASE, inv):
@@ -108,6 +110,13 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = j
 
 
+def parts(batch: pa.RecordBatch, most: int = SLICE_BYTES, text: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, without copies, ``most`` bytes of text at a time, or one longer text."""
+    size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    for i, j in slices(np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), most):
+        yield batch.slice(i, j - i)
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start byte, end byte, text index) of every word of the texts, in order."""
     n = len(data)

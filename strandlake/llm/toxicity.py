@@ -85,7 +85,7 @@ def _slices(texts: pa.Array, of: Model | None = None) -> Iterator[tuple]:
     """(feature, sentence, sentences' texts, first text, text after the last) of a slice of the texts at a
     time; of the features of ``of`` only, by their place in it, if it is given."""
     data, offsets = B.buffers(texts)
-    for i, j in B.slices(offsets):
+    for i, j in B.slices(offsets, B.SMALL_BYTES):
         own = offsets[i : j + 1] - offsets[i]
         h, sent, starts = features(data[offsets[i] : offsets[j]], own)
         if of is not None:
@@ -103,6 +103,25 @@ def occurrences(texts: pa.Array, toxic: np.ndarray) -> Iterator[tuple[np.ndarray
         yield names, np.bincount(f, minlength=len(names)), np.bincount(f, weights=y, minlength=len(names)).astype(np.int64)
 
 
+def summed(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``occurrences`` gives, of several slices together."""
+    h, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return h, *(np.bincount(of, weights=np.concatenate([p[k] for p in parts]), minlength=len(h)).astype(np.int64) for k in (1, 2))
+
+
+def gathered(parts: Iterator[tuple], most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``summed`` of slices that have ``most`` features or a little more, so that small slices give no more rows."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= most:
+            yield summed(held)
+            held, n = [], 0
+    if held:
+        yield summed(held)
+
+
 def sentences(texts: pa.Array, kept: Model) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Per text: how many sentences it has, and the (sentence, feature) pairs of the kept features."""
     for f, sent, doc, i, j in _slices(texts, kept):
@@ -127,9 +146,7 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Model:
     y = toxic.astype(bool)
     if not y.any() or y.all():
         return NONE
-    parts = list(occurrences(texts, y.astype(np.int64)))
-    h, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    df, dp = (np.bincount(of, weights=np.concatenate([p[k] for p in parts]), minlength=len(h)) for k in (1, 2))
+    h, df, dp = summed(list(occurrences(texts, y.astype(np.int64))))
     kept = Model(names := _kept(h, df, dp, y.mean()), np.zeros(len(names)), 0.0)
     return solved(kept, y, list(sentences(texts, kept)))
 
@@ -174,7 +191,7 @@ def score_texts(model: Model, texts: pa.Array) -> dict[str, np.ndarray]:
     n = len(offsets) - 1
     out = {"score": np.zeros(n), "n_sentences": np.zeros(n, np.int64), "n_offending": np.zeros(n, np.int64), "worst_start": np.zeros(n, np.int64), "worst_end": np.zeros(n, np.int64), "worst_score": np.zeros(n)}
     spans = []
-    for i, j in B.slices(offsets):
+    for i, j in B.slices(offsets, B.SMALL_BYTES):
         part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         if not len(part):
             continue
@@ -226,7 +243,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model
 
     def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, df, dp in occurrences(batch.column("text"), batch.column("toxic").to_numpy().astype(np.int64)):
+            for h, df, dp in gathered(occurrences(batch.column("text"), batch.column("toxic").to_numpy().astype(np.int64))):
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(df), pa.array(dp)], names=["h", "df", "dp"])
 
     seen = own.mapInArrow(B.released(occur), "h long, df long, dp long").groupBy("h").agg(F.sum("df").alias("df"), F.sum("dp").alias("dp"))
@@ -256,10 +273,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted and where the worst and all offending sentences are, for every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = score_texts(model, batch.column("text"))
-            names = ["doc_id", "held_out", "score", "predicted", *list(got)[1:]]
-            cols = [batch.column("doc_id"), batch.column("held_out"), pa.array(got["score"]), pa.array((got["score"] >= 0.5).astype(np.int32)), *[got[k] if k == "offending" else pa.array(got[k]) for k in list(got)[1:]]]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            for part in B.parts(batch):
+                got = score_texts(model, part.column("text"))
+                names = ["doc_id", "held_out", "score", "predicted", *list(got)[1:]]
+                cols = [part.column("doc_id"), part.column("held_out"), pa.array(got["score"]), pa.array((got["score"] >= 0.5).astype(np.int32)), *[got[k] if k == "offending" else pa.array(got[k]) for k in list(got)[1:]]]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     return own.mapInArrow(B.released(run), SCHEMA)
@@ -271,6 +289,7 @@ def reject(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(score_texts(model, batch.column("text"))["score"] < limit))
+            for part in B.parts(batch):
+                yield part.filter(pa.array(score_texts(model, part.column("text"))["score"] < limit))
 
     return docs.mapInArrow(B.released(run), schema)

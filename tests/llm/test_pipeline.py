@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import brute
+import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
-from strandlake.llm import toxicity
+from strandlake.llm import bytewords, toxicity
 from strandlake.llm.common import staged, table
 
 
@@ -38,3 +42,28 @@ def test_stages(spark, sf_dir):
         else:
             assert {r.doc_id for r in after} == set(before)
         docs = out
+
+
+def test_toxicity_holds_arrays_of_small_slices_only():
+    texts = pa.array(["Some words are said here. You are a fool! " * 40, None, "", "ein Wort " * 900] * 400)
+    toxic = np.arange(len(texts)) % 4 == 0
+    model = toxicity.fit(texts.slice(0, 40), toxic[:40])
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    parts = list(bytewords.parts(batch, 1 << 16))
+    assert pa.concat_arrays([p.column("text") for p in parts]).equals(texts)
+    assert max(sum(len(t or "") for t in p.column("text").to_pylist()) for p in parts) <= 1 << 16
+    tracemalloc.start()
+    got = toxicity.score_texts(model, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25 << 20
+    assert np.array_equal(got["score"], np.concatenate([toxicity.score_texts(model, p.column("text"))["score"] for p in parts]))
+
+
+def test_features_of_small_slices_are_summed():
+    texts = pa.array([f"word{i % 7} stays, word{i} goes" for i in range(500)])
+    toxic = (np.arange(500) % 3 == 0).astype(np.int64)
+    slices = [part for i in range(0, 500, 50) for part in toxicity.occurrences(texts.slice(i, 50), toxic[i : i + 50])]
+    for want, got in zip(next(toxicity.occurrences(texts, toxic)), toxicity.summed(list(toxicity.gathered(iter(slices), 200))), strict=True):
+        assert np.array_equal(want, got)
+    assert len(list(toxicity.gathered(iter(slices)))) == 1 < len(list(toxicity.gathered(iter(slices), 200))) < len(slices)
