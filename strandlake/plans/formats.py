@@ -11,7 +11,7 @@ from strandlake.plans.base import Plans
 from strandlake.plans.ranges import SEQ, _seqs
 from strandlake.plans.views import ctes, table, view
 from strandlake.sources import sinks, text
-from strandlake.storage import new_path
+from strandlake.storage import new_path, staged
 
 plans = Plans()
 queries, oracle_sql = plans.queries, plans.oracle_sql
@@ -154,12 +154,16 @@ def read_group_reports(spark, sf_dir):
 def scan_mtx(spark, sf_dir):
     """A count matrix and its names."""
     m = table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") + 1).alias("i"), (F.col("l_suppkey") + 1).alias("j")).agg(F.count("*").alias("n"))
-    top, path = m.agg(F.max("i").alias("i"), F.max("j").alias("j"), F.count("*").alias("n")), new_path(spark, "mtx")
-    head = top.select(F.lit(0).alias("o"), F.format_string("%%%%MatrixMarket matrix\n%%\n%d %d %d", "i", "j", "n").alias("v"))
-    _lines(head.unionByName(m.select(F.lit(1).alias("o"), F.concat_ws(" ", F.col("i").cast("string"), F.col("j").cast("string"), F.col("n").cast("string")).alias("v"))), "v", path=f"{path}/matrix.mtx", one=["o", "v"])
-    names = lambda c, p: top.select(F.explode(F.sequence(F.lit(1).cast("long"), c)).alias("k")).select("k", F.concat(F.lit(p), F.col("k").cast("string")).alias("v"))
-    _lines(names("i", "g"), "v", "v", path=f"{path}/genes.tsv", one=["k"])
-    _lines(names("j", "c"), "v", path=f"{path}/barcodes.tsv", one=["k"])
+    m, path = staged(m, "counts"), new_path(spark, "mtx")
+    top = m.agg(F.max("i").alias("i"), F.max("j").alias("j"), F.count("*").alias("n"))
+    head = top.select(F.format_string("%%%%MatrixMarket matrix\n%%\n%d %d %d", "i", "j", "n").alias("v"))
+    # the sizes' file comes first by its number; the others need no order
+    _lines(head.coalesce(1).unionByName(m.select(F.concat_ws(" ", F.col("i").cast("string"), F.col("j").cast("string"), F.col("n").cast("string")).alias("v"))), "v", path=f"{path}/matrix.mtx")
+    size = top.first()
+    # ranges are written in order, a file each
+    names = lambda n, p: spark.range(1, (n or 0) + 1, numPartitions=(n or 0) // 500_000 + 1).select(F.concat(F.lit(p), F.col("id").cast("string")).alias("v"))
+    _lines(names(size["i"], "g"), "v", "v", path=f"{path}/genes.tsv")
+    _lines(names(size["j"], "c"), "v", path=f"{path}/barcodes.tsv")
     return text.matrix_market(spark, path)
 
 

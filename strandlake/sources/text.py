@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.variant import parse_region
+from strandlake.storage import staged
 
 VCF = ["chrom", "pos", "id", "ref", "alt", "qual", "filter", "info"]
 
@@ -134,39 +135,71 @@ def kinship(spark: SparkSession, path) -> DataFrame:
     return raw.select(F.col("ID1").alias("id1"), F.col("ID2").alias("id2"), rel.alias("rel"))
 
 
+def _numbered_lines(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
+    """Lines of each file as ``value``, ``file`` and ``line`` (from 0), and the files: file, path, n_lines; files
+    are numbered by name. A split's lines are numbered by themselves, and splits by the lines before them.
+
+    The lines are written to the shared folder: both passes see the same splits."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    cut = staged(raw, "lines")
+    splits = cut.groupBy("path", "_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    files = splits.groupBy("path").agg(F.sum("_n").alias("n_lines")).withColumn("file", F.row_number().over(Window.orderBy("path")))
+    w = Window.partitionBy("path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    before = splits.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).join(files, "path").select("path", "_start", "file", (F.col("_before") - F.col("_first")).alias("_add"))
+    # a row a split, and one a file
+    return cut.join(F.broadcast(before), ["path", "_start"]).select("file", (F.col("_id") + F.col("_add")).alias("line"), "value"), files
+
+
 def _numbered_records(spark: SparkSession, path, size: int) -> DataFrame:
-    """Lines of each file in groups of ``size``: path, record, parts. Needs a file's lines in order, so a
-    file is read whole by one task; many files are read side by side."""
-    def split(batches):
+    """Lines of each file in groups of ``size``: path, record, parts; ``place`` numbers the records of all
+    files, in the order of their names. Files are read by splits; what a split or a batch cuts is put together
+    by a shuffle of these lines alone."""
+    def grouped(batches):
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                if name.endswith(".gz"):
-                    import gzip
-
-                    content = gzip.decompress(content)
-                rows = content.decode().splitlines()
-                rows = rows[: len(rows) - len(rows) % size]
-                n = len(rows) // size
-                for lo in range(0, n, 50_000):
-                    hi = min(n, lo + 50_000)
-                    cut = [rows[i * size : (i + 1) * size] for i in range(lo, hi)]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * (hi - lo)), pa.array(range(lo, hi), pa.int64()), pa.array(cut, pa.list_(pa.string()))], names=["path", "record", "parts"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(split, "path string, record long, parts array<string>")
+            file, line = batch.column("file").to_numpy(), batch.column("line").to_numpy()
+            value, at = batch.column("value"), np.arange(len(line))
+            whole = at[(line % size == 0) & (at + size <= len(line))]
+            for k in range(1, size):
+                whole = whole[(line[whole + k] == line[whole] + k) & (file[whole + k] == file[whole])]
+            within = (whole[:, None] + np.arange(size)).ravel()
+            rest = np.setdiff1d(at, within)
+            first = np.concatenate([whole, rest])
+            ends = np.concatenate([[0], np.cumsum(np.repeat([size, 1], [len(whole), len(rest)]))])
+            parts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), value.take(pa.array(np.concatenate([within, rest]))))
+            yield pa.RecordBatch.from_arrays([pa.array(file[first]), pa.array(line[first] // size), pa.array(line[first] % size), parts], names=["file", "record", "k", "parts"])
+
+    numbered, files = _numbered_lines(spark, path)
+    if size == 1:
+        records = numbered.select("file", F.col("line").alias("record"), F.array("value").alias("parts"))
+    else:
+        runs = numbered.mapInArrow(grouped, "file int, record long, k long, parts array<string>")
+        cut = runs.filter(F.size("parts") < size).groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("k", F.get("parts", 0).alias("v")))).alias("p"))
+        put = cut.filter(F.size("p") == size).select("file", "record", F.transform("p", lambda x: x["v"]).alias("parts"))
+        records = runs.filter(F.size("parts") == size).drop("k").unionByName(put)
+    full = F.floor(F.col("n_lines") / size)
+    first = files.select("file", "path", F.coalesce(F.sum(full).over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    return records.join(F.broadcast(first), "file").select("path", "record", (F.col("record") + F.col("_first")).alias("place"), "parts")
+
+
+def _fastq(spark: SparkSession, path) -> DataFrame:
+    r = _numbered_records(spark, path, 4)
+    return r.select("path", "record", "place", F.regexp_extract(F.get("parts", 0), r"^@(\S+)", 1).alias("name"), F.get("parts", 1).alias("seq"), F.get("parts", 3).alias("qual"))
 
 
 def fastq(spark: SparkSession, path) -> DataFrame:
     """Path, record, name, seq, qual."""
-    r = _numbered_records(spark, path, 4)
-    return r.select("path", "record", F.regexp_extract(F.get("parts", 0), r"^@(\S+)", 1).alias("name"), F.get("parts", 1).alias("seq"), F.get("parts", 3).alias("qual"))
+    return _fastq(spark, path).drop("place")
 
 
 def fastq_pairs(spark: SparkSession, first, second) -> DataFrame:
-    """Both reads of a pair by their record; names (without /1, /2) must agree."""
+    """Both reads of a pair by their record, over all files of either end; names (without /1, /2) must
+    agree."""
     plain = lambda c: F.regexp_replace(c, "/[12]$", "")
-    a, b = fastq(spark, first), fastq(spark, second).select("record", F.col("name").alias("name2"), F.col("seq").alias("seq2"), F.col("qual").alias("qual2"))
+    a = _fastq(spark, first).drop("record").withColumnRenamed("place", "record")
+    b = _fastq(spark, second).select(F.col("place").alias("record"), F.col("name").alias("name2"), F.col("seq").alias("seq2"), F.col("qual").alias("qual2"))
     same = F.when(plain(F.col("name")) == plain(F.col("name2")), plain(F.col("name"))).otherwise(F.raise_error(F.concat(F.lit("names differ at record "), F.col("record").cast("string"))).cast("string"))
     return a.join(b, "record").select("record", same.alias("name"), F.col("seq").alias("seq1"), "seq2", F.col("qual").alias("q1"), F.col("qual2").alias("q2"))
 
@@ -186,12 +219,13 @@ def sam_read_groups(spark: SparkSession, path) -> DataFrame:
 
 
 def matrix_market(spark: SparkSession, folder: str, new: bool = False) -> DataFrame:
-    """Gene, barcode, n of a count matrix; names as in either generation of the layout."""
+    """Gene, barcode, n of a count matrix; names as in either generation of the layout. Each of the three may
+    be a folder of files in the order of their names."""
     gz = ".gz" if new else ""
-    coo = spark.read.text(f"{folder}/matrix.mtx{gz}").filter(~F.col("value").startswith("%")).select(F.split("value", " ").alias("c"), F.monotonically_increasing_id().alias("_k"))
-    first = coo.agg(F.min("_k").alias("_first"))  # the line of sizes
+    coo = spark.read.text(f"{folder}/matrix.mtx{gz}").filter(~F.col("value").startswith("%")).select(F.split("value", " ").alias("c"), F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("_k"))
+    first = coo.agg(F.min("_k").alias("_first"))  # the line of sizes: the first of the first file, by name
     body = coo.join(F.broadcast(first)).filter("_k > _first").select(F.get("c", 0).cast("long").alias("i"), F.get("c", 1).cast("long").alias("j"), F.get("c", 2).cast("double").alias("n"))
-    names = lambda f: _numbered_records(spark, f, 1).select((F.col("record") + 1).alias("k"), F.split(F.get("parts", 0), "\t").alias("c"))
+    names = lambda f: _numbered_records(spark, f, 1).select((F.col("place") + 1).alias("k"), F.split(F.get("parts", 0), "\t").alias("c"))
     genes = names(f"{folder}/{'features' if new else 'genes'}.tsv{gz}").select(F.col("k").alias("i"), F.get("c", 0).alias("gene"))
     cells = names(f"{folder}/barcodes.tsv{gz}").select(F.col("k").alias("j"), F.get("c", 0).alias("barcode"))
     return body.join(genes, "i").join(cells, "j").select("gene", "barcode", "n")

@@ -129,3 +129,26 @@ def test_numbered_files_stop_at_the_first_gap(spark, tmp_path):
         put(tmp_path / f"p{i:03d}.tsv", f"{i}\n")
     assert [f[-8:] for f in text.numbered(spark, f"{tmp_path}/p", ".tsv")] == ["p001.tsv", "p002.tsv"]
     assert text.numbered(spark, f"{tmp_path}/q", ".tsv") == []
+
+
+def test_matrix_and_names_in_several_files(spark, tmp_path):
+    for name, parts in {"matrix.mtx": ["%%MatrixMarket\n%\n3 2 3\n", "1 2 5\n2 1 7\n", "3 1 1\n"], "genes.tsv": ["g1\tx\n", "g2\tx\ng3\tx\n"], "barcodes.tsv": ["AA\n", "CC\n"]}.items():
+        (tmp_path / name).mkdir()
+        for i, part in enumerate(parts):
+            put(tmp_path / name / f"part-{i}", part)
+    assert rows(text.matrix_market(spark, str(tmp_path))) == [("g1", "CC", 5.0), ("g2", "AA", 7.0), ("g3", "AA", 1.0)]
+
+
+def test_scan_mtx_writes_its_matrix_by_many_tasks(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    from strandlake.plans import formats
+
+    monkeypatch.setattr(formats, "new_path", lambda spark, label: f"{tmp_path}/{label}")
+    many = spark.range(1000).repartition(4).select((F.col("id") % 50).alias("l_partkey"), (F.col("id") % 7).alias("l_suppkey"))
+    monkeypatch.setattr(formats, "table", lambda *a: many)
+    monkeypatch.setattr(formats, "staged", lambda df, label: df.repartition(3), raising=False)
+    assert formats.scan_mtx(spark, "").count() == 350
+    assert len(list(Path(f"{tmp_path}/mtx/matrix.mtx").glob("part-*"))) > 2
