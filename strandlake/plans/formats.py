@@ -127,7 +127,9 @@ def written_genes(spark, sf_dir):
 def scan_fastq_pairs(spark, sf_dir):
     """S18, S19."""
     s = _seqs(spark, sf_dir).withColumn("q", F.expr("repeat('I', length(seq))"))
-    end = lambda k, seq: _lines(s, F.concat_ws("\n", F.format_string(f"@r%d/{k} x", "event_id"), seq, F.lit("+"), "q"), one=["event_id"])
+    # files in order, by ranges; rows of one id come in the same order in both ends
+    s = s.orderBy("event_id", "seq")
+    end = lambda k, seq: _lines(s, F.concat_ws("\n", F.format_string(f"@r%d/{k} x", "event_id"), seq, F.lit("+"), "q"))
     return text.fastq_pairs(spark, end(1, F.col("seq")), end(2, F.reverse("seq"))).select("name", "seq1", "seq2")
 
 

@@ -152,3 +152,22 @@ def test_scan_mtx_writes_its_matrix_by_many_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(formats, "staged", lambda df, label: df.repartition(3), raising=False)
     assert formats.scan_mtx(spark, "").count() == 350
     assert len(list(Path(f"{tmp_path}/mtx/matrix.mtx").glob("part-*"))) > 2
+
+
+def test_fastq_pairs_over_several_files_and_splits(spark, tmp_path):
+    record = lambda k, end: f"@r{k}/{end} x\n{'ACGT'[k % 4] * (k % 9 + 1)}\n+\n{'@' * (k % 9 + 1)}\n"
+    for end, cuts in ((1, [0, 700, 701, 2000]), (2, [0, 1200, 2000])):
+        (tmp_path / str(end)).mkdir()
+        for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            put(tmp_path / str(end) / f"part-{i}", "".join(record(k, end) for k in range(lo, hi)))
+    put(tmp_path / "1" / "part-9", "@cut/1\nAC\n")  # not a whole record
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "5003")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "101")
+        got = text.fastq_pairs(spark, str(tmp_path / "1"), str(tmp_path / "2")).orderBy("record").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert [(r.record, r["name"]) for r in got] == [(k, f"r{k}") for k in range(2000)]
+    assert all(r.seq1 == r.seq2 == "ACGT"[k % 4] * (k % 9 + 1) and set(r.q1) == {"@"} for k, r in enumerate(got))
