@@ -256,3 +256,18 @@ def test_principal_axes_equal_numpy(spark):
     axes = np.linalg.svd(x - x.mean(0))[2][:2]
     for i in range(20):
         assert np.allclose(np.abs(x[i] @ axes.T), np.abs(got[i]), atol=1e-8)
+
+
+def test_spread_follows_the_rows(spark):
+    from strandlake.storage import spread
+
+    df = spark.range(100)
+    assert spread(df, 100, "id").rdd.getNumPartitions() == 4 and spread(df, 100, "id", per_task=10).rdd.getNumPartitions() == 10
+
+
+def test_pairs_are_shuffled_once_by_variant(spark, sf_dir):
+    from strandlake.plans import genotypes
+
+    for q in (genotypes.geno_confusion_snp,):
+        plan = q(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") == 2
