@@ -266,8 +266,8 @@ def test_spread_follows_the_rows(spark):
 
 
 def test_pairs_are_shuffled_once_by_variant(spark, sf_dir):
-    from strandlake.plans import genotypes
+    from strandlake.plans import genotypes, values
 
-    for q in (genotypes.geno_confusion_snp,):
+    for q in (genotypes.geno_confusion_snp, values.pair_masks):
         plan = q(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") == 2
