@@ -271,3 +271,10 @@ def test_pairs_are_shuffled_once_by_variant(spark, sf_dir):
     for q in (genotypes.geno_confusion_snp, values.pair_masks):
         plan = q(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") == 2
+
+
+def test_interpolation_sorts_by_tasks_that_follow_the_rows(spark):
+    t = spark.createDataFrame([("a", 10, 1.0), ("a", 20, 2.0)], "k string, tx long, ty double")
+    p = spark.range(20).select(F.lit("a").alias("k"), F.col("id").alias("x"))
+    plan = intervals.interpolated(p, t, ["k"], "x", "tx", "ty", 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1
