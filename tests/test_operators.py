@@ -278,3 +278,11 @@ def test_interpolation_sorts_by_tasks_that_follow_the_rows(spark):
     p = spark.range(20).select(F.lit("a").alias("k"), F.col("id").alias("x"))
     plan = intervals.interpolated(p, t, ["k"], "x", "tx", "ty", 4)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == 1
+
+
+def test_region_means_meet_places_once(spark):
+    s = spark.createDataFrame([("1", 5, 1.0)] * 50 + [("1", 6, 4.0), ("1", 7, None), ("1", 90, None)], "chrom string, pos long, score double")
+    r = spark.createDataFrame([("1", 0, 10), ("1", 7, 9), ("1", 80, 99)], "chrom string, beg long, end long")
+    plan = intervals.region_mean(r, s, 8)
+    assert rows(plan.fillna(-1.0)) == [("1", 0, 10, 54 / 51, 52), ("1", 7, 9, -1.0, 1), ("1", 80, 99, -1.0, 1)]
+    assert "sum(score" in plan._jdf.queryExecution().optimizedPlan().toString()
